@@ -55,6 +55,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``materialize`` wrote, when nothing reads it any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/millrace-" in path:
+            _remove(df.sparkSession, path)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of the input can never clash with ours."""
     return df.select(*[df[n] for n in names])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_boilerplate, reply_trees, suffix_repeats
+from . import byte_bpe, jaccard_join, line_boilerplate, reply_trees, substring_dedup, suffix_repeats
 from .common import table
 
 #: A path that every worker can open; a parameter of the deployment.
@@ -17,6 +17,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.measure_repetition(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_boilerplate.drop_boilerplate(table(spark, sf_dir, "documents"))
 
@@ -42,6 +50,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_chat_formatting": op10_chat_formatting,
