@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .words import chunks, texts_of
 
+#: Bytes of text that are queried at once, about; bounds a worker's memory.
+BLOCK_BYTES = 1 << 22
 #: ASCII that isn't a letter or digit separates words; other characters belong to words.
 _SEPARATORS = bytes(c if c >= 128 or chr(c).isalnum() else 0x20 for c in range(256))
 
@@ -78,7 +80,7 @@ def _sums(keys, weights):
 class ItemIndex:
     """Inverted index over items (item id, text), blocked by position, with weights normed to self-scores."""
 
-    def __init__(self, items: list[tuple], frequency: dict[bytes, int], n_items: int, mean_length: float, rules: LeakRules):
+    def __init__(self, items: list[tuple], frequency: dict[bytes, int], n_items: int, mean_length: float, rules: LeakRules, longest: int = 0):
         import numpy as np
 
         self.rules, self.ids, self.parts = rules, [], []
@@ -121,7 +123,7 @@ class ItemIndex:
         self.block = block[first]
         self.block_max = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
         self.block_at = np.searchsorted(terms[by][first], np.arange(len(names) + 1)) if len(first) else np.zeros(len(names) + 1, np.int64)
-        self.half = max(64, max(map(len, docs), default=0))
+        self.half = max(64, longest, *map(len, docs))
 
     def grams(self, words: list[bytes]) -> frozenset:
         n = min(self.rules.gram, len(words))
@@ -208,7 +210,7 @@ def _indexes(items: DataFrame, rules: LeakRules, shard_bytes: int, id_col: str,
     src = items.select(items[id_col].alias("id"), items[text_col].alias("text"))
     src = src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, text string, words array<string>").filter(F.size("words") > 0)
     src = materialize(src, "items")
-    n, total, size = src.agg(F.count(F.lit(1)), F.sum(F.size("words")), F.sum(F.octet_length("text"))).first()
+    n, total, size, longest = src.agg(F.count(F.lit(1)), F.sum(F.size("words")), F.sum(F.octet_length("text")), F.max(F.size("words"))).first()
     if not n:
         return []
     shards = -(-size // shard_bytes)
@@ -219,7 +221,7 @@ def _indexes(items: DataFrame, rules: LeakRules, shard_bytes: int, id_col: str,
         own = dealt.filter(F.col("shard") == k)
         terms = own.select(F.explode("words").alias("w")).distinct()
         frequency = {r[0].encode(): r[1] for r in counts.join(terms, "w", "left_semi").collect()}
-        out.append(ItemIndex([(r[0], r[1]) for r in own.select("id", "text").orderBy("id", "text").collect()], frequency, n, total / n, rules))
+        out.append(ItemIndex([(r[0], r[1]) for r in own.select("id", "text").orderBy("id", "text").collect()], frequency, n, total / n, rules, longest))
     return out
 
 
@@ -236,7 +238,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
             import pyarrow as pa
 
             for batch in batches:
-                for part in chunks(batch):
+                for part in chunks(batch, most=BLOCK_BYTES):
                     got = sent.value.hits(texts_of(part))
                     t, item, score, q, a = zip(*got, strict=True) if got else [()] * 5
                     leaked = [x >= rules.overlap and y >= rules.overlap for x, y in zip(q, a, strict=True)]
@@ -255,7 +257,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
             import pyarrow as pa
 
             for batch in batches:
-                for part in chunks(batch, text_col):
+                for part in chunks(batch, text_col, BLOCK_BYTES):
                     bad = {t for t, _, _, q, a in sent.value.hits(texts_of(part, text_col)) if q >= rules.overlap and a >= rules.overlap}
                     yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
 
