@@ -1,18 +1,20 @@
 """Exact Jaccard similarity join on word shingles: a grouped prefix join.
 
-1. Documents with equal shingle sets are one class; only classes take part from then on.
-2. Shingles are ordered by a hash, those of many classes after all others.  Two sets that are similar
-   enough share a shingle in their prefixes, the first n - ceil(t n) + 1 of that order.  A first pass keeps
-   somewhat more than a prefix, so that frequent shingles can be moved back without another pass; the few
-   classes for which that isn't enough are read again, whole.
-3. Classes of equal prefix and size are one group.  Groups that share a prefix shingle are paired, under
-   the bounds on size and on what can still overlap after the shared position, and expanded to members.
-4. Members are verified on their whole sets.
+1. Documents with equal shingle sets are one class.  Shingles are ordered by a hash; the prefix of a set of
+   n is its first n - ceil(t n) + 1, and sets that are similar enough share a shingle of their prefixes.
+   Classes of equal size and equal prefix (with some shingles more) are one group; groups are joined.
+2. Only shingles of two groups or more make lists.  A frequent shingle would pair everything with
+   everything, so it is moved behind all others, which the shingles kept beyond the prefix make up for.  The
+   few groups with too many frequent shingles for that keep their prefix in the plain order; in the lists
+   of frequent shingles, only pairs with one of them are made.  Each pair thus meets under one common order.
+3. Pairs pass the bounds on size and on shared prefix, are expanded to members, pass the bound on what can
+   still overlap beyond the shingles kept, and are verified on their whole sets.
 
 A list of thousands of near copies would make millions of pairs that all say the same.  So pairs are made
-in two rounds: first each member with the first of its group, and each group with the first of its list
-and size band; then all pairs whose ends are still in different components.  No link between components
-is lost, as the second round is complete.
+in two rounds: first each group with the most central one of its list and size band (that whose shingles
+most groups share: the original of edited copies) and with some drawn by hashes, each member with the first
+of its group; then all pairs whose ends are still in different components.  No link between components is lost, as
+the second round is complete.
 
 Defined results: texts without words, and nulls, have the empty set, link with nothing and are their own
 component.  Fewer words than a shingle make one shingle of all of them.  Repeated rows are documents with
@@ -26,12 +28,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, pick
+from .common import discard, materialize, pick, release
 from .components import connected_components
 from .words import chunks, hash_words, roll, texts_of
 
-#: Classes that must hold a shingle for it to be moved behind all others.
-FREQUENT = 128
+#: Groups that must hold a shingle for it to be moved behind all others.
+FREQUENT = 24
+#: Members of a list that all others are compared with before the complete round.
+DRAWN = 8
 
 
 def shingle_sets(texts: list[bytes], k: int):
@@ -71,25 +75,32 @@ def prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+def kept_length(n, percent: int):
+    p = prefix_length(n, percent)
+    return min(n, p + p // 4 + 8)
+
+
 def _signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, cls, toks): set size, digest of the set, and somewhat more than its prefix."""
+    """(doc_id, n, cls, grp, toks): set size, digests of the set and of what is kept of it, what is kept."""
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("__text"))
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             for part in chunks(batch):
                 sets = shingle_sets(texts_of(part), k)
-                more = [s[: (p := prefix_length(len(s), percent)) + p // 4 + 8] for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), _lists(more)], names=["doc_id", "n", "cls", "toks"])
+                kept = [s[: kept_length(len(s), percent)] for s in sets]
+                digests = [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([_digest(np.append(s, len(t))) for s, t in zip(kept, sets, strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *digests, _lists(kept)], names=["doc_id", "n", "cls", "grp", "toks"])
 
-    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, n bigint, cls binary, toks array<bigint>")
+    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, n bigint, cls binary, grp binary, toks array<bigint>")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(cid, n, toks) with all shingles, for classes (cid, doc_id, cls)."""
-    ask = wanted.select("cid", F.col("doc_id").alias("__id"), "cls")
+    """(cid, n, toks) with all shingles, for classes (cid, doc, cls)."""
+    ask = wanted.select("cid", F.col("doc").alias("__id"), "cls")
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("__text"))
     src = src.join(ask, src["doc_id"].eqNullSafe(ask["__id"])).select("cid", "cls", "__text")
 
@@ -103,92 +114,139 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_co
                 sets = [sets[i] for i in ok]
                 yield pa.RecordBatch.from_arrays([part.column("cid").take(pa.array(ok, pa.int64())), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], names=["cid", "n", "toks"])
 
-    return src.mapInArrow(run, "cid bigint, n bigint, toks array<bigint>").dropDuplicates(["cid"])
+    return src.mapInArrow(run, "cid bigint, n bigint, toks array<bigint>")
+
+
+def _both(pairs: DataFrame, sets: DataFrame, *names: str) -> DataFrame:
+    side = lambda c: sets.select(F.col("cid").alias(c), *[F.col(x).alias(x + c) for x in names])
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+
+
+def _possible(pairs: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those that can link by the shingles kept: up to the lower of the two ends these are
+    known of both sets, and beyond it no more can be shared than the smaller rest."""
+    both = _both(pairs, kept, "n", "toks")
+    end = lambda c: F.when(F.size(f"toks{c}") < F.col(f"n{c}"), F.element_at(f"toks{c}", -1)).otherwise(F.lit((1 << 63) - 1))
+    both = both.withColumn("__cut", F.least(end("a"), end("b")))
+    upto = lambda c: F.filter(f"toks{c}", lambda t: t <= F.col("__cut"))
+    both = both.withColumn("__x", upto("a")).withColumn("__y", upto("b"))
+    most = F.size(F.array_intersect("__x", "__y")) + F.least(F.col("na") - F.size("__x"), F.col("nb") - F.size("__y"))
+    return both.filter(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those that link."""
-    side = lambda c: sets.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("toks").alias(f"t{c}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("i"))
-    return both.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
+    both = _both(pairs, sets, "n", "toks").withColumn("i", F.size(F.array_intersect("toksa", "toksb")))
+    return both.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b").distinct()
+
+
+def _links(pairs: DataFrame, kept: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    pairs = materialize(_possible(pairs, kept, percent), "pairs")
+    release(docs.sparkSession)
+    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    sets = materialize(_whole_sets(docs, classes.join(ends, "cid", "left_semi"), shingle, id_col, text_col), "sets")
+    release(docs.sparkSession)
+    links = materialize(_verified(pairs, sets, percent), "links")
+    discard(sets)
+    release(docs.sparkSession)
+    return links
+
+
+def _inverted_lists(kept: DataFrame, frequent: int) -> DataFrame:
+    """kept (cid, n, p, toks) to lists (gid, n, tok, at, hot, odd, core) of the shingles that groups are joined
+    by; at: the place in the group's order; odd: the group keeps the plain order; core: how much of what the
+    group keeps is shared, and by how many."""
+    each = kept.select(F.col("cid").alias("gid"), "n", "p", F.posexplode("toks").alias("pos", "tok"))
+    shared = materialize(each.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
+    release(kept.sparkSession)
+    lists = materialize(each.select("gid", "pos", "tok").join(shared.withColumn("hot", F.col("df") >= frequent), "tok"), "lists")
+    release(kept.sparkSession)
+    of_group = F.sort_array(F.collect_list(F.when(F.col("hot"), F.col("pos"))))
+    group = lists.groupBy("gid").agg(of_group.alias("at"), F.sum(F.log2("df")).alias("core"))
+    group = group.join(kept.select(F.col("cid").alias("gid"), "n", "p", F.size("toks").alias("size")), "gid")
+    group = group.withColumn("odd", F.col("size") - F.size("at") < F.col("p")).withColumn("core", F.col("core") / F.col("size"))
+    both = lists.join(group, "gid")
+    before = F.size(F.filter("at", lambda x: x < F.col("pos")))
+    both = both.withColumn("place", F.when(F.col("odd") | F.col("hot"), F.col("pos")).otherwise(F.col("pos") - before))
+    return both.filter(F.col("place") < F.col("p")).select("gid", "n", "tok", F.col("place").alias("at"), "hot", "odd", "core")
+
+
+def _placed(members: DataFrame, roots: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members with the root of their component; the least and greatest root of each group; the lists, with
+    these, of shingles that several components hold."""
+    placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", F.coalesce("root", "cid").alias("root"))
+    placed = materialize(placed, "placed")
+    of_group = materialize(placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")), "spans")
+    spread = lists.join(of_group, "gid")
+    open_ = materialize(spread.groupBy("tok").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l != h").select("tok"), "open")
+    return placed, of_group, materialize(spread.join(open_, "tok"), "spread")
 
 
 def similarity_components(docs: DataFrame, *, shingle: int = 4, percent: int = 85, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, n_class (documents with the same set)."""
-    rows = materialize(_signatures(docs, shingle, percent, id_col, text_col), "signatures")
-    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("toks").alias("toks"))
-    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    slim = materialize(rows.select("doc_id", "n", "cls"), "rows")
-    discard(rows)
-    rows = slim
-
-    # the order: frequent shingles last
-    p = lambda n: F.col(n) - F.floor((percent * F.col(n) + 99) / 100) + 1
-    toks = classes.select("cid", F.explode("toks").alias("tok"))
-    hot = materialize(toks.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= frequent).select("tok"), "frequent")
-    hit = toks.join(hot, "tok").groupBy("cid").agg(F.collect_list("tok").alias("hot"))
-    own = classes.select("cid", "n", "toks").join(hit, "cid", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<bigint>")))
-    own = own.withColumn("rare", F.array_except("toks", "hot"))
-    whole = F.size("toks") == F.col("n")
-    enough = own.withColumn("prefix", F.when(whole | (F.size("rare") >= p("n")), F.slice(F.concat(F.col("rare"), F.array_sort("hot")), F.lit(1), p("n").cast("int"))))
-    enough = materialize(enough.select("cid", "n", "prefix"), "prefixes")
-    again = classes.select("cid", "doc_id", "cls").join(enough.filter("prefix IS NULL").select("cid"), "cid", "left_semi")
-    full = _whole_sets(docs, again, shingle, id_col, text_col)
-    sorted_ = full.select("cid", "n", F.explode("toks").alias("tok")).join(hot.withColumn("h", F.lit(1)), "tok", "left")
-    late = sorted_.groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("h", F.lit(0)).alias("h"), "tok"))).alias("l"))
-    late = late.select("cid", "n", F.slice(F.transform("l", lambda x: x["tok"]), F.lit(1), p("n").cast("int")).alias("prefix"))
-    prefixes = enough.filter("prefix IS NOT NULL").unionByName(late)
-
-    # groups of equal prefix and size, in their lists
-    key = [F.col("n"), F.xxhash64("prefix").alias("h1"), F.xxhash64(F.lit(1), F.col("prefix")).alias("h2")]
-    members = prefixes.select("cid", "prefix", *key)
-    groups = members.groupBy("n", "h1", "h2").agg(F.min("cid").alias("gid"), F.count(F.lit(1)).alias("size"), F.first("prefix").alias("prefix"))
-    groups = materialize(groups, "groups")
-    members = materialize(members.select("cid", "n", "h1", "h2").join(groups.select("n", "h1", "h2", "gid", "size"), ["n", "h1", "h2"]).select("cid", "gid", "size"), "members")
-    lists = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "tok"))
-    shared = lists.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("tok")
-    lists = materialize(lists.join(shared, "tok"), "lists")
-
-    # whole sets of all that can be paired
-    busy = lists.select("gid").unionByName(groups.filter("size > 1").select("gid")).distinct()
-    busy = members.join(busy, "gid", "left_semi").select("cid")
-    sets = materialize(_whole_sets(docs, classes.select("cid", "doc_id", "cls").join(busy, "cid", "left_semi"), shingle, id_col, text_col), "sets")
+    docs = pick(docs, id_col, text_col)
+    rows = materialize(_signatures(docs, shingle, percent, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "signatures")
+    slim = rows.filter("n > 0")
+    classes = slim.groupBy("cls").agg(F.min("rid").alias("cid"), F.min_by("doc_id", "rid").alias("doc"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("grp").alias("grp"))
+    classes = materialize(classes, "classes")
+    groups = classes.groupBy("grp").agg(F.min("cid").alias("gid"), F.count(F.lit(1)).alias("size"))
+    members = materialize(classes.select("cid", "grp").join(groups, "grp").select("cid", "gid", "size"), "members")
+    # what the groups keep: rows but those that stand for no group, and those are few
+    other = slim.select("rid").join(members.filter("cid = gid").select(F.col("cid").alias("rid")), "rid", "left_anti")
+    other = materialize(other, "others")
+    kept = slim.withColumn("p", F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).select(F.col("rid").alias("cid"), "n", "p", "toks")
+    of_groups = kept.join(other.withColumnRenamed("rid", "cid"), "cid", "left_anti")
+    lists = materialize(_inverted_lists(of_groups, frequent), "joined")
+    release(docs.sparkSession)
+    args = (kept.select("cid", "n", "toks"), classes.select("cid", "doc", "cls"), docs, shingle, percent, id_col, text_col)
 
     # round one: with the first of the group, of the list and size band
-    band = F.floor(F.log(F.col("n").cast("double")) * (1 / _log_step(percent)))
-    firsts = lists.groupBy("tok", band.alias("band")).agg(F.min(F.struct("n", "gid")).alias("f"))
-    near = lists.withColumn("band", band).join(firsts, ["tok", "band"]).filter("gid != f.gid").select(F.col("f.gid").alias("a"), F.col("gid").alias("b"))
+    step = F.log(F.col("n").cast("double")) * (1 / _log_step(percent))
+    bands = F.array(2 * F.floor(step), 2 * F.floor(step + 0.5) + 1)  # overlapping, so that no border parts near copies
+    near = lists.filter("odd OR NOT hot").withColumn("band", F.explode(bands))
+    firsts = near.groupBy("tok", "band").agg(F.max(F.struct("core", "gid")).alias("f"))
+    near = near.join(firsts, ["tok", "band"]).filter("gid != f.gid").groupBy(F.col("f.gid").alias("a"), F.col("gid").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
+    near = near.filter(F.col("shared") * 400 >= (100 - percent) * F.col("n"))  # a quarter of a prefix, else it's left to round two
     inside = members.filter("gid != cid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
-    links = materialize(_verified(near.unionByName(inside).distinct(), sets, percent), "links")
-    roots = connected_components(links)
+    links = _links(near.select("a", "b").unionByName(inside), *args)
+    placed, of_group, spread = _placed(members, connected_components(links), lists)
+    release(docs.sparkSession)
+
+    # once more where lists still have several components, with some members drawn by hashes
+    drawn = [F.max(F.struct(F.xxhash64("gid", F.lit(k)).alias("h"), "gid", "low", "high")).alias(f"f{k}") for k in range(DRAWN)]
+    near = spread.filter("odd OR NOT hot").withColumn("band", F.explode(bands))
+    firsts = near.groupBy("tok", "band").agg(*drawn).select("tok", "band", F.explode(F.array(*[f"f{k}" for k in range(DRAWN)])).alias("f")).distinct()
+    near = near.join(firsts, ["tok", "band"]).filter("gid != f.gid AND (low != f.high OR high != f.low)").groupBy(F.col("f.gid").alias("a"), F.col("gid").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
+    near = near.filter(F.col("shared") * 400 >= (100 - percent) * F.col("n"))
+    links = materialize(links.unionByName(_links(near.select("a", "b"), *args)), "links")
+    placed, of_group, spread = _placed(members, connected_components(links), lists)
+    release(docs.sparkSession)
 
     # round two: everything whose ends are still apart
-    placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", "size", F.coalesce("root", "cid").alias("root"))
-    placed = materialize(placed, "placed")
-    of_group = placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    spread = materialize(lists.join(of_group, "gid"), "spread")
-    open_ = spread.groupBy("tok").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l != h").select("tok")
-    spread = spread.join(open_, "tok")
     x, y = spread.alias("x"), spread.alias("y")
     size_ok = (100 * F.col("x.n") >= percent * F.col("y.n")) & (F.col("x.n") <= F.col("y.n"))
-    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    still = rest * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
     apart = (F.col("x.low") != F.col("y.high")) | (F.col("x.high") != F.col("y.low"))
     once = (F.col("x.n") < F.col("y.n")) | (F.col("x.gid") < F.col("y.gid"))
-    pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & size_ok & still & apart & once).select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
+    asked = ~F.col("x.hot") | F.col("x.odd") | F.col("y.odd")
+    after = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
+    pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & size_ok & apart & once & asked).groupBy(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).agg(F.count(F.lit(1)).alias("shared"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.min(after).alias("after"), F.max(F.col("x.odd") != F.col("y.odd")).alias("mixed"))
+    # what can be shared besides: no more than the rest of the set whose prefix ends first; and, under one
+    # order, no more than either set has after the last shared shingle
+    rest = lambda n: F.floor((percent * F.col(n) + 99) / 100) - 1
+    besides = F.least(F.greatest(rest("na"), rest("nb")), F.when(~F.col("mixed"), F.col("after")))
+    pairs = pairs.filter((F.col("shared") + besides) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("ga", "gb")
     pairs = pairs.unionByName(of_group.filter("low != high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
     side = lambda c: placed.select(F.col("gid").alias(f"g{c}"), F.col("cid").alias(c), F.col("root").alias(f"r{c}"))
-    pairs = pairs.join(side("a"), "ga").join(side("b"), "gb").filter("ra != rb AND (ga != gb OR a < b)")
-    more = materialize(_verified(pairs, sets, percent), "links")
+    pairs = pairs.join(side("a"), "ga").join(side("b"), "gb").filter("ra != rb AND (ga != gb OR a < b)").select("a", "b")
+    more = _links(pairs, *args)
     up = placed.select(F.col("cid").alias("a"), F.col("root").alias("ra"))
     lift = more.join(up, "a").join(up.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     over = connected_components(lift).select(F.col("node").alias("root"), F.col("root").alias("top"))
     final = placed.join(over, "root", "left").select("cid", F.coalesce("top", "root").alias("root"))
-    linked = classes.select("cls", "cid", "doc_id", "copies").join(final, "cid")
-    least = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    linked = materialize(classes.select("cls", "cid", "least", "copies").join(final, "cid"), "final")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(linked.join(least, "root").select("cls", "copies", "component_id"), "named")
-    out = rows.filter("n > 0").join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("copies").alias("n_class"))
+    out = slim.select("doc_id", "n", "cls").join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("copies").alias("n_class"))
     return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_class")))
 
 
