@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 
 #: Entries of the caches of a worker; beyond that they are emptied, so memory stays bounded.
-PIECES_KEPT, PAIRS_KEPT, LONGEST_KEPT_PIECE = 400_000, 1_000_000, 64
+PIECES_KEPT, PAIRS_KEPT, LONGEST_KEPT_PIECE = 250_000, 300_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -17,7 +17,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-BLOCK_WORDS = 1 << 19
+from .words import chunks, texts_of
+
+BLOCK_WORDS = 1 << 18
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -187,11 +189,11 @@ def measure_repetition(docs: DataFrame, rules: RepetitionRules = RepetitionRules
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for chunk in (c for batch in batches for c in chunks(batch)):
             at = 0
-            for texts, words in _blocks([(t.as_py() or "").encode() for t in batch.column("__text")]):
+            for texts, words in _blocks(texts_of(chunk)):
                 got = _measure(texts, words, rules)
-                part = batch.slice(at, len(texts))
+                part = chunk.slice(at, len(texts))
                 at += len(texts)
                 if only_kept:
                     part = part.filter(pa.array(got["kept"]))

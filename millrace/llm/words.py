@@ -35,7 +35,7 @@ def roll(h, n: int):
     return mix(out)
 
 
-def chunks(batch, column: str = "__text", most: int = 1 << 24) -> Iterator:
+def chunks(batch, column: str = "__text", most: int = 1 << 22) -> Iterator:
     """Slices of a record batch with about ``most`` bytes of text each."""
     import pyarrow.compute as pc
 
