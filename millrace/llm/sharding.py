@@ -98,6 +98,7 @@ def copy_links(rows: DataFrame, cap: int, n_rows: int) -> DataFrame:
     rows: nid, h1, h2; a group is rows of equal h1, h2.
     """
     groups = rows.groupBy("h1", "h2").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    groups = materialize(groups, "groups")  # so that the join starts from plain exchanges, whose large partitions can be split
     members = materialize(rows.select("nid", "h1", "h2").join(groups, ["h1", "h2"]).select("nid", "head", "copies"), "members")
     weight = F.when(8 * F.col("copies") <= cap, 2.0).otherwise(1.0).alias("weight")
     small = members.filter(F.col("copies") <= cap).select("nid", "head", F.lit(0).cast("long").alias("piece"), weight)

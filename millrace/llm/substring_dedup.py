@@ -311,6 +311,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 35, shard: int = SHARD, kee
     small = refs.join(large, "v", "left_anti").repartition("v").sortWithinPartitions("v")
     spans = materialize(_by_automata(small, length).unionByName(_by_windows(refs.join(large, "v", "left_semi"), length)), "spans")
     found = passages.select("k1", "k2", "at", "v", "h1", "h2").distinct().join(spans, ["v", "h1", "h2"])
-    found = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "spans")).alias("spans"))
+    # written, so that the join below starts from plain exchanges, whose large partitions can be split
+    found = materialize(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "spans")).alias("spans")), "found")
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name != "__text")
     return _cut(keyed.join(found, ["k1", "k2"], "left"), list(keep), own)
