@@ -1,0 +1 @@
+"""Expressions: names, types and Spark columns."""

@@ -1,0 +1 @@
+"""Relational operators and the after-images of changes."""

@@ -1,0 +1 @@
+"""Parsing and planning of statements."""

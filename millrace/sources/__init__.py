@@ -1,0 +1 @@
+"""Stored tables and sources of statements."""

@@ -1,0 +1 @@
+"""Structured Streaming: none yet, as the dialect has no streams."""
