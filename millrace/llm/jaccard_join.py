@@ -12,8 +12,8 @@
 
 A list of thousands of near copies would make millions of pairs that all say the same.  So pairs are made
 in two rounds: first each group with the most central one of its list and size band (that whose shingles
-most groups share: the original of edited copies) and with some drawn by hashes, each member with the first
-of its group; then all pairs whose ends are still in different components.  No link between components is lost, as
+most groups share: the original of edited copies), each member with the first of its group; then all pairs
+whose ends are still in different components.  No link between components is lost, as
 the second round is complete.
 
 Defined results: texts without words, and nulls, have the empty set, link with nothing and are their own
@@ -34,8 +34,6 @@ from .words import chunks, hash_words, roll, texts_of
 
 #: Groups that must hold a shingle for it to be moved behind all others.
 FREQUENT = 24
-#: Members of a list that all others are compared with before the complete round.
-DRAWN = 8
 
 
 def shingle_sets(texts: list[bytes], k: int):
@@ -212,16 +210,6 @@ def similarity_components(docs: DataFrame, *, shingle: int = 4, percent: int = 8
     placed, of_group, spread = _placed(members, connected_components(links), lists)
     release(docs.sparkSession)
 
-    # once more where lists still have several components, with some members drawn by hashes
-    drawn = [F.max(F.struct(F.xxhash64("gid", F.lit(k)).alias("h"), "gid", "low", "high")).alias(f"f{k}") for k in range(DRAWN)]
-    near = spread.filter("odd OR NOT hot").withColumn("band", F.explode(bands))
-    firsts = near.groupBy("tok", "band").agg(*drawn).select("tok", "band", F.explode(F.array(*[f"f{k}" for k in range(DRAWN)])).alias("f")).distinct()
-    near = near.join(firsts, ["tok", "band"]).filter("gid != f.gid AND (low != f.high OR high != f.low)").groupBy(F.col("f.gid").alias("a"), F.col("gid").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
-    near = near.filter(F.col("shared") * 400 >= (100 - percent) * F.col("n"))
-    links = materialize(links.unionByName(_links(near.select("a", "b"), *args)), "links")
-    placed, of_group, spread = _placed(members, connected_components(links), lists)
-    release(docs.sparkSession)
-
     # round two: everything whose ends are still apart
     x, y = spread.alias("x"), spread.alias("y")
     size_ok = (100 * F.col("x.n") >= percent * F.col("y.n")) & (F.col("x.n") <= F.col("y.n"))
