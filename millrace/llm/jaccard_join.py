@@ -78,9 +78,10 @@ def kept_length(n, percent: int):
     return min(n, p + p // 4 + 8)
 
 
-def _signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, cls, grp, toks): set size, digests of the set and of what is kept of it, what is kept."""
-    src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("__text"))
+def _signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n, cls, grp, toks): set size, digests of the set and of what is kept of it, what is kept; then
+    the long columns ``keep`` as they are."""
+    src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("__text"), *keep)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -91,9 +92,9 @@ def _signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
                 sets = shingle_sets(texts_of(part), k)
                 kept = [s[: kept_length(len(s), percent)] for s in sets]
                 digests = [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([_digest(np.append(s, len(t))) for s, t in zip(kept, sets, strict=True)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *digests, _lists(kept)], names=["doc_id", "n", "cls", "grp", "toks"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *digests, _lists(kept), *map(part.column, keep)], names=["doc_id", "n", "cls", "grp", "toks", *keep])
 
-    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, n bigint, cls binary, grp binary, toks array<bigint>")
+    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, n bigint, cls binary, grp binary, toks array<bigint>" + "".join(f", {c} bigint" for c in keep))
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -182,8 +183,17 @@ def _placed(members: DataFrame, roots: DataFrame, lists: DataFrame) -> tuple[Dat
 
 def similarity_components(docs: DataFrame, *, shingle: int = 4, percent: int = 85, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, n_class (documents with the same set)."""
-    docs = pick(docs, id_col, text_col)
-    rows = materialize(_signatures(docs, shingle, percent, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "signatures")
+    rows, linked = _components(pick(docs, id_col, text_col), shingle, percent, frequent, id_col, text_col)
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = materialize(linked.join(least, "root").select("cls", "copies", "component_id"), "named")
+    out = rows.filter("n > 0").select("doc_id", "n", "cls").join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("copies").alias("n_class"))
+    return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_class")))
+
+
+def _components(docs: DataFrame, shingle: int, percent: int, frequent: int, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, numbered by rid; and (cls, cid, least, copies, root) of each class: the least
+    id and the number of its rows, and one class of its component."""
+    rows = materialize(_signatures(docs, shingle, percent, id_col, text_col, keep).withColumn("rid", F.monotonically_increasing_id()), "signatures")
     slim = rows.filter("n > 0")
     classes = slim.groupBy("cls").agg(F.min("rid").alias("cid"), F.min_by("doc_id", "rid").alias("doc"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("grp").alias("grp"))
     classes = materialize(classes, "classes")
@@ -231,11 +241,7 @@ def similarity_components(docs: DataFrame, *, shingle: int = 4, percent: int = 8
     lift = more.join(up, "a").join(up.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     over = connected_components(lift).select(F.col("node").alias("root"), F.col("root").alias("top"))
     final = placed.join(over, "root", "left").select("cid", F.coalesce("top", "root").alias("root"))
-    linked = materialize(classes.select("cls", "cid", "least", "copies").join(final, "cid"), "final")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(linked.join(least, "root").select("cls", "copies", "component_id"), "named")
-    out = slim.select("doc_id", "n", "cls").join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("copies").alias("n_class"))
-    return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_class")))
+    return rows, materialize(classes.select("cls", "cid", "least", "copies").join(final, "cid"), "final")
 
 
 def _log_step(percent: int) -> float:
@@ -245,7 +251,26 @@ def _log_step(percent: int) -> float:
 
 
 def keep_one_of_each(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their component, with all columns; ties keep all such rows."""
-    found = similarity_components(pick(docs, id_col, text_col), shingle=shingle, percent=percent, id_col=id_col, text_col=text_col)
-    drop = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs[id_col].eqNullSafe(drop["__drop"]), "left_anti")
+    """One row of each component of ``docs``, with all columns: that of the least id, a null id being the last;
+    among rows of that id, one text by a hash, and of equal texts the least by the columns that have an order.
+
+    Rows go by id and the digest of their text, which stay the same however often ``docs`` is read, so rows
+    that only share an id with a dropped one, or a null id, are left alone."""
+    keys = {"__a": F.xxhash64(docs[text_col]), "__b": F.xxhash64(F.lit(1), docs[text_col])}
+    src = docs.select(docs[id_col], docs[text_col], *[c.alias(k) for k, c in keys.items()])
+    rows, linked = _components(src, shingle, percent, FREQUENT, id_col, text_col, tuple(keys))
+    own = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("__id"), *keys).alias("own")
+    placed = materialize(rows.filter("n > 0").select(own, "cls").join(linked.select("cls", "root"), "cls").select("root", "own"), "members")
+    first = placed.groupBy("root").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    both = placed.join(materialize(first, "first"), "root")
+    # the rows that go; where several have the id and text of the one that stays, all go and one comes back
+    gone = both.groupBy("own").agg(F.max(F.col("own") == F.col("first")).alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1 OR NOT stays")
+    gone = materialize(gone.select("own.__id", *[F.col(f"own.{k}") for k in keys], "stays"), "gone")
+    same = lambda d: docs[id_col].eqNullSafe(d["__id"]) & (keys["__a"] == d["__a"]) & (keys["__b"] == d["__b"])
+    kept = docs.join(gone, same(gone), "left_anti")
+    again = gone.filter("stays")
+    if again.isEmpty():
+        return kept
+    ordered = F.struct(*[docs[c] for c, t in docs.dtypes if "map<" not in t and "variant" not in t])
+    again = docs.join(again, same(again), "left_semi").select(docs[id_col].alias("__id"), *[c.alias(k) for k, c in keys.items()], F.struct(*[docs[c] for c in docs.columns]).alias("__row"), ordered.alias("__order"))
+    return kept.unionByName(again.groupBy("__id", *keys).agg(F.min_by("__row", "__order").alias("__row")).select("__row.*"))

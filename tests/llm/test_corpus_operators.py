@@ -100,6 +100,17 @@ def test_similarity_of_nothing(docs_of):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 4] and kept.columns[-2:] == ["shard", "n"]
 
 
+def test_one_of_each_stays_whatever_its_id(docs_of):
+    t, u, v = (" ".join(f"{c}{j}" for j in range(30)) for c in "tuv")
+    rows = [(3, t), (5, t), (5, u), (6, u + " more"), (None, t + " more"), (None, "only this one"), (None, v), (None, v), (None, v + " more"), (None, None), (None, "")]
+    rows += [(8, "a b c d e f g"), (8, "A b c d e f g"), (9, "p q r s t u v w"), (9, "p q r s t u v w"), (9, "P q r s t u v w"), (9, None), (9, None)]
+    got = jaccard_join.keep_one_of_each(docs_of(rows))
+    kept = sorted(((r.doc_id, (r.text or "").lower().removesuffix(" more"), r.text is None) for r in got.collect()), key=str)
+    want = [(3, t), (5, u), (None, "only this one"), (None, v), (None, None), (None, ""), (8, "a b c d e f g"), (9, "p q r s t u v w"), (9, None), (9, None)]
+    assert kept == sorted(((i, x or "", x is None) for i, x in want), key=str)
+    assert got.columns == docs_of([]).columns
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(60)] + [(200, 100 + i) for i in range(50)] + [(rng.randint(300, 340), rng.randint(300, 340)) for _ in range(25)]
