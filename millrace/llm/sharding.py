@@ -1,12 +1,14 @@
 """Sharding by balanced label propagation.
 
-Linked documents start in hashed shards.  In each round joins tell every linked document how much link
-weight it has in each shard.  So that neighbours don't just swap, only those with a neighbour of more links
-may move in even rounds, and half of all, drawn anew, in odd ones.  They ask to move where they have most,
-and a shard takes in no more than its quota leaves room for, greatest gain first.
+Linked documents start in hashed shards, none over its quota.  In each round joins tell every linked
+document how much link weight it has in each shard.  So that neighbours don't just swap, only those with a
+neighbour of more links may move in even rounds, and half of all, drawn anew, in odd ones.  They ask to move
+where they have most, and a shard takes in no more than its quota and those who leave it make room for,
+greatest gain first.  Rounds go on until nobody who gains can move, or the weight of cut links has stopped
+falling; the labels of the least cut count.
 Documents without links then fill every shard up to its quota, so counts end at most one apart.
 
-Nothing is gathered but one number per shard.  Ranks are prefix sums over salted parts, so neither a large
+Nothing is gathered but one number per pair of shards and level of gain.  Ranks are prefix sums over salted parts, so neither a large
 shard nor a large group of copies is ever sorted by one task.
 
 Defined results: a null text counts 16 bytes, has the checksum of the empty text and no links; rows are
@@ -18,10 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Rows that a numbering sorts at once, about.
 PART = 20_000
+#: Rounds in a row without a new least cut after which propagation ends: three even ones, and three odd ones,
+#: which hold both halves of a draw.
+PATIENCE = 6
 
 
 def number(df: DataFrame, keys: list[str], n_rows: int, first: Column | None = None) -> DataFrame:
@@ -47,49 +52,124 @@ def _at(values: list[int], shard: Column) -> Column:
     return F.element_at(F.lit(values), (shard + 1).cast("int"))
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, k: int, *, rounds: int = 4, n_rows: int | None = None) -> DataFrame:
+def _granted(flows: list[tuple[int, int, int, int]], room: list[int]) -> dict[tuple[int, int], int]:
+    """How many may move from shard to shard at once, of flows (from, to, level, rows asking).
+
+    Rings of asks need no room and are granted first.  What is left has no rings, so each shard is settled
+    after all those it sends to: it takes in as many as have room or leave, of the highest levels."""
+    k, left, got = len(room), {}, {}
+    for a, b, _, n in flows:
+        out = left.setdefault(a, {})
+        out[b] = out.get(b, 0) + n
+    open_, settled = set(range(k)), []
+    for start in range(k):
+        path = [start] if start in open_ else []
+        while path:
+            b = next((b for b, n in left.get(path[-1], {}).items() if n and b in open_), None)
+            if b is None:
+                settled.append(path.pop())
+                open_.remove(settled[-1])
+            elif b in path:
+                ring = path[path.index(b) :]
+                steps = list(zip(ring, [*ring[1:], b], strict=True))
+                n = min(left[x][y] for x, y in steps)
+                for x, y in steps:
+                    left[x][y] -= n
+                    got[x, y] = got.get((x, y), 0) + n
+                del path[path.index(b) + 1 :]
+            else:
+                path.append(b)
+    into: dict[int, list] = {}
+    had = dict(got)
+    for a, b, level, n in sorted(flows, key=lambda f: -f[2]):
+        gone = min(n, had.get((a, b), 0))  # granted in rings
+        had[a, b] = had.get((a, b), 0) - gone
+        into.setdefault(b, []).append((a, n - gone))
+    free = list(room)
+    for b in settled:
+        for a, n in into.get(b, []):
+            n = min(n, max(0, free[b]))
+            if n:
+                got[a, b] = got.get((a, b), 0) + n
+                free[b] -= n
+                free[a] += n
+    return got
+
+
+def _flows(asks: DataFrame) -> list[tuple[int, int, int, int]]:
+    return [tuple(r) for r in asks.groupBy("from", "shard", "level").agg(F.count(F.lit(1)).alias("n")).collect()]
+
+
+def _fill(nodes: DataFrame, room: list[int], n_rows: int) -> DataFrame:
+    """(nid, shard): the nodes, into the room of the shards one after the other."""
+    ends, total = [], 0
+    for x in room:
+        total += x
+        ends.append(total)
+    return number(nodes, [], n_rows).select("nid", F.size(F.filter(F.lit(ends) if room else F.array(), lambda e: e <= F.col("number"))).cast("int").alias("shard"))
+
+
+def propagate(nodes: DataFrame, edges: DataFrame, k: int, *, rounds: int | None = None, n_rows: int | None = None) -> DataFrame:
     """nodes: nid (long, distinct), seed (long: nodes of one seed start together); edges: a, b, weight.
-    Returns (nid, shard) with shards from 0 to k - 1 whose counts are at most one apart."""
+    Returns (nid, shard) with shards from 0 to k - 1 whose counts are at most one apart.  Ends by itself, or
+    after ``rounds``."""
     n = nodes.count() if n_rows is None else n_rows
     quota = [n // k + (j < n % k) for j in range(k)]
     both = materialize(edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).filter("a != b"), "edges")
     linked = nodes.join(both.select(F.col("a").alias("nid")).distinct(), "nid", "left_semi")
     labels = materialize(linked.select("nid", F.pmod(F.xxhash64("seed", F.lit(3)), F.lit(k)).cast("int").alias("shard")), "labels")
+    load = _by_shard(labels, k)
+    if any(x > q for x, q in zip(load, quota, strict=True)):  # the last of them go where there is room
+        ranked = materialize(number(labels, ["shard"], n), "ranked")
+        fits = F.col("number") < _at(quota, F.col("shard"))
+        over = materialize(ranked.filter(~fits).select("nid"), "over")
+        labels = materialize(ranked.filter(fits).select("nid", "shard").unionByName(_fill(over, [max(0, q - x) for q, x in zip(quota, load, strict=True)], n)), "labels")
+        load = _by_shard(labels, k)
     links = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     rank = both.join(links.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("top"))
     after = F.col("top") > F.struct("n", (-F.col("a")).alias("b"))
     followers = materialize(links.join(rank, "a").filter(after).select(F.col("a").alias("nid")), "followers")
-    for r in range(rounds):
-        seen = both.join(labels.select(F.col("nid").alias("b"), "shard"), "b").groupBy("a", "shard").agg(F.sum("weight").alias("w"))
-        best = seen.groupBy("a").agg(F.max(F.struct("w", (-F.col("shard")).alias("s"))).alias("m"), F.collect_list(F.struct("shard", "w")).alias("all"))
-        asks = labels.join(best.select(F.col("a").alias("nid"), "m", "all"), "nid")
-        own = F.aggregate(F.filter("all", lambda x: x["shard"] == F.col("shard")), F.lit(0.0), lambda t, x: t + x["w"])
-        asks = asks.select("nid", (-F.col("m.s")).cast("int").alias("to"), (F.col("m.w") - own).alias("gain")).filter("gain > 0")
-        asks = asks.filter(F.pmod(F.xxhash64("nid", F.lit(r)), F.lit(2)) == 0) if r % 2 else asks.join(followers, "nid", "left_semi")
-        asks = materialize(asks.select("nid", F.col("to").alias("shard"), "gain"), "asks")
-        wanted = _by_shard(asks, k)
-        if not any(wanted):
-            if r % 2:
+    asks, least, since, r = None, None, 0, 0
+    while rounds is None or r < rounds:
+        if asks is None:
+            seen = both.join(labels.select(F.col("nid").alias("b"), "shard"), "b").groupBy("a", "shard").agg(F.sum("weight").alias("w"))
+            best = seen.groupBy("a").agg(F.max(F.struct("w", (-F.col("shard")).alias("s"))).alias("m"), F.collect_list(F.struct("shard", "w")).alias("all"))
+            asks = labels.join(best.select(F.col("a").alias("nid"), "m", "all"), "nid")
+            weigh = lambda own: F.aggregate(F.filter("all", lambda x: (x["shard"] == F.col("shard")) == own), F.lit(0.0), lambda t, x: t + x["w"])
+            asks = asks.select("nid", F.col("shard").alias("from"), (-F.col("m.s")).cast("int").alias("to"), (F.col("m.w") - weigh(True)).alias("gain"), weigh(False).alias("cut")).filter("cut > 0").withColumnRenamed("to", "shard")
+            asks = materialize(asks.withColumn("level", F.least(F.lit(40), F.greatest(F.lit(0), F.floor(F.log2(F.when(F.col("gain") > 0, F.col("gain")))) + 20)).cast("int")), "asks")
+            cut = asks.agg(F.sum("cut")).first()[0] or 0.0
+        if least is None or cut < least[0]:
+            if least is not None and least[1] is not labels:
+                discard(least[1])
+            least, since = (cut, labels, load), 0
+        else:
+            since += 1
+        if not cut or since == PATIENCE:
+            break
+        gains = asks.filter("gain > 0")
+        drawn = gains.filter(F.pmod(F.xxhash64("nid", F.lit(r // 4)), F.lit(2)) == r // 2 % 2) if r % 2 else gains.join(followers, "nid", "left_semi")
+        r += 1
+        room = [q - x for q, x in zip(quota, load, strict=True)]
+        flows = _flows(drawn)
+        granted = _granted(flows, room)
+        if not granted:
+            if not _granted(_flows(gains), room):
                 break
             continue
-        load = _by_shard(labels, k)
-        room = [max(0, q - x) for q, x in zip(quota, load, strict=True)]
-        if any(w > x for w, x in zip(wanted, room, strict=True)):
-            level = F.least(F.lit(40), F.greatest(F.lit(0), F.floor(F.log2("gain")) + 20))
-            asks = number(asks, ["shard"], n, 40 - level).filter(F.col("number") < _at(room, F.col("shard")))
-        moved = asks.select("nid", F.col("shard").alias("__to"))
-        labels = materialize(labels.join(moved, "nid", "left").select("nid", F.coalesce("__to", "shard").alias("shard")), "labels")
-    load = _by_shard(labels, k)
-    if any(x > q for x, q in zip(load, quota, strict=True)):  # more than the quota from the start: the last of them go
-        labels = materialize(number(labels, ["shard"], n).filter(F.col("number") < _at(quota, F.col("shard"))).select("nid", "shard"), "labels")
-        load = _by_shard(labels, k)
-    ends, total = [], 0
-    for q, x in zip(quota, load, strict=True):
-        total += q - x
-        ends.append(total)
-    free = number(materialize(nodes.select("nid").join(labels, "nid", "left_anti"), "free"), [], n)
-    filled = free.select("nid", F.size(F.filter(F.lit(ends) if k else F.array(), lambda e: e <= F.col("number"))).cast("int").alias("shard"))
-    return labels.unionByName(filled)
+        if sum(f[3] for f in flows) > sum(granted.values()):
+            most = F.split(F.lit(",".join(str(granted.get((a, b), 0)) for a in range(k) for b in range(k))), ",").cast("array<bigint>")
+            drawn = number(drawn, ["from", "shard"], n, 40 - F.col("level")).filter(F.col("number") < F.element_at(most, F.col("from") * k + F.col("shard") + 1))
+        moved = drawn.select("nid", F.col("shard").alias("__to"))
+        before, labels = labels, materialize(labels.join(moved, "nid", "left").select("nid", F.coalesce("__to", "shard").alias("shard")), "labels")
+        if before is not least[1]:
+            discard(before)
+        discard(asks)
+        asks, load = None, [x + sum(granted.get((a, b), 0) - granted.get((b, a), 0) for a in range(k)) for b, x in enumerate(load)]
+    if least is not None and r != rounds:
+        _, labels, load = least
+    free = materialize(nodes.select("nid").join(labels, "nid", "left_anti"), "free")
+    return labels.unionByName(_fill(free, [q - x for q, x in zip(quota, load, strict=True)], n))
 
 
 def copy_links(rows: DataFrame, cap: int, n_rows: int) -> DataFrame:
@@ -109,7 +189,7 @@ def copy_links(rows: DataFrame, cap: int, n_rows: int) -> DataFrame:
     return pieces.join(firsts, ["head", "piece"]).select(F.col("nid").alias("a"), "b", "weight")
 
 
-def shard_documents(docs: DataFrame, k: int, *, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, k: int, *, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null), linked by equal texts."""
     text = docs[text_col]
     rows = docs.select(docs[id_col].alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("long").alias("text_crc32"), F.when(text.isNotNull(), F.xxhash64(text)).alias("h1"), F.when(text.isNotNull(), F.xxhash64(F.lit(1), text)).alias("h2"))

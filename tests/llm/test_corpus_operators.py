@@ -46,6 +46,32 @@ def test_shards(docs_of, k):
     assert sharding.shard_documents(docs_of([]), k).count() == 0
 
 
+def test_few_groups_are_split_where_most_rows_are_linked(docs_of):
+    texts = [f"pair {i // 2}" for i in range(1600)] + [f"ten {i // 10}" for i in range(1200)] + [f"single {i}" for i in range(200)]
+    random.Random(3).shuffle(texts)
+    got = sharding.shard_documents(docs_of(texts), 20).collect()
+    assert set(Counter(r.shard for r in got).values()) == {150}
+    groups = defaultdict(set)
+    for r in got:
+        groups[texts[r.doc_id]].add(r.shard)
+    assert sum(len(g) > 1 for g in groups.values()) <= 0.05 * 920
+
+
+def test_moves_granted():
+    assert sharding._granted([(0, 1, 21, 5), (1, 2, 21, 4), (2, 0, 21, 3)], [0, 0, 0]) == {(0, 1): 3, (1, 2): 3, (2, 0): 3}
+    assert sharding._granted([(0, 1, 20, 5), (3, 1, 21, 4), (1, 2, 20, 9)], [0, 1, 4, 0]) == {(1, 2): 4, (3, 1): 4, (0, 1): 1}
+    rng = random.Random(8)
+    for _ in range(200):
+        k = rng.randint(2, 7)
+        room = [rng.choice([0, 0, rng.randint(0, 9)]) for _ in range(k)]
+        asked = {(a, b, rng.randint(18, 22)): rng.randint(1, 9) for a in range(k) for b in range(k) if a != b and rng.random() < 0.5}
+        got = sharding._granted([(*f, n) for f, n in asked.items()], room)
+        net = [sum(n for (_, b), n in got.items() if b == j) - sum(n for (a, _), n in got.items() if a == j) for j in range(k)]
+        assert all(x <= y for x, y in zip(net, room, strict=True))
+        assert all(0 < n <= sum(m for (x, y, _), m in asked.items() if (x, y) == f) for f, n in got.items())
+        assert got or not any(room[b] for _, b, _ in asked)
+
+
 # similarity
 
 
