@@ -130,7 +130,8 @@ class ItemIndex:
         return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if n else frozenset()
 
     def hits(self, texts: list[bytes]) -> list[tuple[int, int, float, float, float]]:
-        """(text number, item id, score, question overlap, answer overlap), the best passage of each."""
+        """(text number, item id, score, question overlap, answer overlap), the best passage of each: a leak
+        if there is one, then by the sum of the overlaps and the score."""
         import numpy as np
 
         words = [normal_words(t) for t in texts]
@@ -189,9 +190,10 @@ class ItemIndex:
             a = (passage - int(passage_at[t])) * self.half
             have = words[t][a : a + 2 * self.half]
             q, r = (len(part & self._all(have, part)) / len(part) if part else 1.0 for part in self.parts[i])
-            if (t, i) not in best or (q + r, s) > best[t, i][1:]:
-                best[t, i] = ((q, r), q + r, s)
-        return [(t, self.ids[i], x[2], *x[0]) for (t, i), x in sorted(best.items())]
+            rank = (min(q, r) >= self.rules.overlap, q + r, s)  # a passage that is a leak is never hidden by one that isn't
+            if (t, i) not in best or rank > best[t, i][1]:
+                best[t, i] = ((q, r), rank)
+        return [(t, self.ids[i], x[1][2], *x[0]) for (t, i), x in sorted(best.items())]
 
     def _all(self, words: list[bytes], part: frozenset) -> set:
         n = len(next(iter(part)))

@@ -234,6 +234,16 @@ def test_leaks(spark, docs_of):
     assert decontamination.find_leaks(docs_of(rows), table.limit(0)).count() == 0
 
 
+def test_a_leak_is_not_hidden_by_another_passage(spark, docs_of):
+    q, a, fill = ([f"{c}{j}" for j in range(n)] for c, n in (("q", 42), ("a", 22), ("f", 250)))
+    items = spark.createDataFrame([(1, " ".join(q) + ". " + " ".join(a))], "item_id bigint, text string")
+    leak, more = q[:28] + a[:15], q + a[:10]  # shares 0.65 and 0.65; 1.0 and 0.4
+    docs = docs_of([(i, " ".join(w)) for i, w in enumerate([leak + fill + more, more + fill + leak, more + fill, leak + fill])])
+    got = {r.doc_id: (r.question_overlap, r.answer_overlap, r.leaked) for r in decontamination.find_leaks(docs, items).collect()}
+    assert got == {0: (0.65, 0.65, True), 1: (0.65, 0.65, True), 2: (1.0, 0.4, False), 3: (0.65, 0.65, True)}
+    assert [r.doc_id for r in decontamination.drop_leaks(docs, items).collect()] == [2]
+
+
 def test_pruning_loses_nothing():
     rng = random.Random(7)
     items = [(i, " ".join(words(rng, rng.randint(5, 40), 30))) for i in range(90)]
