@@ -8,7 +8,6 @@ loses an intermediate result and the next plan starts from real file sizes.
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -56,12 +55,6 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver forget plans that are out of use, so that executors drop their shuffle files now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def discard(df: DataFrame) -> None:
     """Remove a table that ``materialize`` wrote, when nothing reads it any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -1,39 +1,51 @@
 """Exact Jaccard similarity join on word shingles: a grouped prefix join.
 
-1. Documents with equal shingle sets are one class.  Shingles are ordered by a hash; the prefix of a set of
-   n is its first n - ceil(t n) + 1, and sets that are similar enough share a shingle of their prefixes.
-   Classes of equal size and equal prefix (with some shingles more) are one group; groups are joined.
-2. Only shingles of two groups or more make lists.  A frequent shingle would pair everything with
-   everything, so it is moved behind all others, which the shingles kept beyond the prefix make up for.  The
-   few groups with too many frequent shingles for that keep their prefix in the plain order; in the lists
-   of frequent shingles, only pairs with one of them are made.  Each pair thus meets under one common order.
-3. Pairs pass the bounds on size and on shared prefix, are expanded to members, pass the bound on what can
-   still overlap beyond the shingles kept, and are verified on their whole sets.
-
-A list of thousands of near copies would make millions of pairs that all say the same.  So pairs are made
-in two rounds: first each group with the most central one of its list and size band (that whose shingles
-most groups share: the original of edited copies), each member with the first of its group; then all pairs
-whose ends are still in different components.  No link between components is lost, as
-the second round is complete.
+1. Shingles are counted over all documents into a sketch of fixed size, whose levels give one order of all
+   shingles: rare ones first, those of one level by their hash.  Any order gives the same result; this one
+   keeps common passages out of the prefixes.  The prefix of a set of n is its first n - ceil(t n) + 1, and
+   sets that are similar enough share a shingle of their prefixes.
+2. Documents with equal shingle sets are one class; classes of equal size and equal prefix are one group.
+   Groups are joined by the shingles of their prefixes.  Two sets of x and y shingles that link share at least
+   o = ceil(t (x + y) / (1 + t)), so one shared shingle is among the first x - o + 1 of the one and the first
+   y - o + 1 of the other; the join asks for both.
+3. Pairs of groups are expanded to members.  Each set has a sketch of parities, which differ in no more places
+   than the sets do: that proves most pairs apart.  The rest is verified on whole sets.
+
+A list of thousands of near copies would make millions of pairs that all say the same.  So pairs are made in
+rounds: first each group with the most central one of its list and size band (that with the most common
+shingles: the original of edited copies), each member with the first of its group; then the same with ones
+drawn by a hash; then all pairs whose ends are still in different components.  No link between components is
+lost, as the last round is complete.
 
 Defined results: texts without words, and nulls, have the empty set, link with nothing and are their own
 component.  Fewer words than a shingle make one shingle of all of them.  Repeated rows are documents with
-equal sets.  The component of null ids only is null.  An empty table gives an empty result.
+equal sets.  The component of null ids only is null; of ids that tie, the least names the component.  Very long
+texts are read whole, some megabytes of text at a time and at least one text.  Further columns, whatever their
+names, are not looked at.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, pick, release
+from .common import materialize, pick
 from .components import connected_components
 from .words import chunks, hash_words, roll, texts_of
 
-#: Groups that must hold a shingle for it to be moved behind all others.
-FREQUENT = 24
+#: Counters of the sketch, as a power of two: one byte each goes to every worker, whatever the size of the corpus.
+SKETCH_BITS = 22
+#: Counters in a row of partial counts.
+SLICE = 1 << 14
+#: Bits of a sketch of parities.
+PARITY_BITS = 1024
+#: Classes whose ids are sent to all executors to fetch their texts; more of them are joined by a shuffle.
+MOST_SENT = 1 << 19
+#: Rounds in which groups are compared with one of their list only.
+CENTRES = 2
 
 
 def shingle_sets(texts: list[bytes], k: int):
@@ -73,35 +85,84 @@ def prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
-def kept_length(n, percent: int):
-    p = prefix_length(n, percent)
-    return min(n, p + p // 4 + 8)
+def _parities(s):
+    """Of each of PARITY_BITS classes of shingles, whether the set has an odd number of them."""
+    import numpy as np
+
+    return np.packbits((np.bincount((s >> 32) % PARITY_BITS, minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def shingle_levels(docs: DataFrame, k: int, bits: int = SKETCH_BITS, text_col: str = "text") -> bytes:
+    """For each of 2 ** bits classes of shingles how common it is among all documents, packed: 0 for what chance
+    explains, else four steps for each doubling."""
+    import numpy as np
+
+    width = 1 << bits
+    each = min(SLICE, width)
+
+    def count(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros(width, np.uint32)
+        for batch in batches:
+            for part in chunks(batch):
+                sets = shingle_sets(texts_of(part), k)
+                total += np.bincount(np.concatenate(sets) & (width - 1), minlength=width).astype(np.uint32)
+        rows = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(total.reshape(-1, each)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["slice", "counts"])
 
+    def add(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-def _signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n, cls, grp, toks): set size, digests of the set and of what is kept of it, what is kept; then
-    the long columns ``keep`` as they are."""
-    src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("__text"), *keep)
+        total: dict = {}
+        for batch in batches:
+            for i, x in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                got = np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64)
+                total[i] = total[i] + got if i in total else got
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["slice", "counts"])
+
+    partial = docs.select(docs[text_col].alias("__text")).mapInArrow(count, "slice int, counts binary")
+    counts = np.zeros((width // each, each), np.uint64)
+    for i, x in partial.repartition(min(64, width // each), "slice").mapInArrow(add, "slice int, counts binary").collect():  # at most width numbers
+        counts[i] = np.frombuffer(zlib.decompress(x), np.uint64)
+    counts = counts.ravel().astype(np.float64)
+    usual = counts.mean()
+    steps = 1 + np.minimum(250, np.floor(4 * np.log2(np.maximum(counts - usual, 1))))
+    return zlib.compress(np.where(counts > usual + 6 * np.sqrt(usual) + 8, steps, 0).astype(np.uint8).tobytes(), 1)
+
+
+def _signatures(docs: DataFrame, levels: bytes, k: int, percent: int, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, hash, n, core, cls, grp, odd, toks): a hash of the text, the size of its set, how common its
+    shingles are, digests of the set and of size and prefix, parities, the prefix; then the long columns ``keep``."""
+    src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("__text"), F.xxhash64(docs[text_col]).alias("__hash"), *keep)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        level = np.frombuffer(zlib.decompress(levels), np.uint8)
         for batch in batches:
             for part in chunks(batch):
                 sets = shingle_sets(texts_of(part), k)
-                kept = [s[: kept_length(len(s), percent)] for s in sets]
-                digests = [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([_digest(np.append(s, len(t))) for s, t in zip(kept, sets, strict=True)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *digests, _lists(kept), *map(part.column, keep)], names=["doc_id", "n", "cls", "grp", "toks", *keep])
+                common = [level[s & (len(level) - 1)] for s in sets]
+                core = [int(1000 * c.mean()) if len(c) else 0 for c in common]
+                prefix = [s[np.argsort(c, kind="stable")[: prefix_length(len(s), percent)]] if len(s) else s for s, c in zip(sets, common, strict=True)]
+                digests = [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([_digest(np.append(p, len(s))) for s, p in zip(sets, prefix, strict=True)], pa.binary())]
+                sizes = [pa.array([len(s) for s in sets], pa.int32()), pa.array(core, pa.int32())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("__hash"), *sizes, *digests, _lists([_parities(s) for s in sets]), _lists(prefix), *map(part.column, keep)], names=["doc_id", "hash", "n", "core", "cls", "grp", "odd", "toks", *keep])
 
-    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, n bigint, cls binary, grp binary, toks array<bigint>" + "".join(f", {c} bigint" for c in keep))
+    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, hash bigint, n int, core int, cls binary, grp binary, odd array<bigint>, toks array<bigint>" + "".join(f", {c} bigint" for c in keep))
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(cid, n, toks) with all shingles, for classes (cid, doc, cls)."""
-    ask = wanted.select("cid", F.col("doc").alias("__id"), "cls")
-    src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("__text"))
-    src = src.join(ask, src["doc_id"].eqNullSafe(ask["__id"])).select("cid", "cls", "__text")
+    """(cid, n, toks) with all shingles, for classes (cid, doc, hash, cls)."""
+    ask = wanted.select("cid", F.col("doc").alias("__id"), F.col("hash").alias("__asked"), "cls")
+    if ask.count() <= MOST_SENT:
+        ask = F.broadcast(ask)
+    src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("__text"), F.xxhash64(docs[text_col]).alias("__hash"))
+    src = src.join(ask, src["doc_id"].eqNullSafe(ask["__id"]) & (F.col("__hash") == F.col("__asked"))).select("cid", "cls", "__text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -111,143 +172,105 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_co
                 sets = shingle_sets(texts_of(part), k)
                 ok = [i for i, (s, c) in enumerate(zip(sets, part.column("cls").to_pylist(), strict=True)) if _digest(s) == c]
                 sets = [sets[i] for i in ok]
-                yield pa.RecordBatch.from_arrays([part.column("cid").take(pa.array(ok, pa.int64())), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], names=["cid", "n", "toks"])
-
-    return src.mapInArrow(run, "cid bigint, n bigint, toks array<bigint>")
-
-
-def _both(pairs: DataFrame, sets: DataFrame, *names: str) -> DataFrame:
-    side = lambda c: sets.select(F.col("cid").alias(c), *[F.col(x).alias(x + c) for x in names])
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-
-
-def _possible(pairs: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those that can link by the shingles kept: up to the lower of the two ends these are
-    known of both sets, and beyond it no more can be shared than the smaller rest."""
-    both = _both(pairs, kept, "n", "toks")
-    end = lambda c: F.when(F.size(f"toks{c}") < F.col(f"n{c}"), F.element_at(f"toks{c}", -1)).otherwise(F.lit((1 << 63) - 1))
-    both = both.withColumn("__cut", F.least(end("a"), end("b")))
-    upto = lambda c: F.filter(f"toks{c}", lambda t: t <= F.col("__cut"))
-    both = both.withColumn("__x", upto("a")).withColumn("__y", upto("b"))
-    most = F.size(F.array_intersect("__x", "__y")) + F.least(F.col("na") - F.size("__x"), F.col("nb") - F.size("__y"))
-    return both.filter(most * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those that link."""
-    both = _both(pairs, sets, "n", "toks").withColumn("i", F.size(F.array_intersect("toksa", "toksb")))
-    return both.filter(100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b").distinct()
-
-
-def _links(pairs: DataFrame, kept: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    pairs = materialize(_possible(pairs, kept, percent), "pairs")
-    release(docs.sparkSession)
-    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    sets = materialize(_whole_sets(docs, classes.join(ends, "cid", "left_semi"), shingle, id_col, text_col), "sets")
-    release(docs.sparkSession)
-    links = materialize(_verified(pairs, sets, percent), "links")
-    discard(sets)
-    release(docs.sparkSession)
-    return links
-
-
-def _inverted_lists(kept: DataFrame, frequent: int) -> DataFrame:
-    """kept (cid, n, p, toks) to lists (gid, n, tok, at, hot, odd, core) of the shingles that groups are joined
-    by; at: the place in the group's order; odd: the group keeps the plain order; core: how much of what the
-    group keeps is shared, and by how many."""
-    each = kept.select(F.col("cid").alias("gid"), "n", "p", F.posexplode("toks").alias("pos", "tok"))
-    shared = materialize(each.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
-    release(kept.sparkSession)
-    lists = materialize(each.select("gid", "pos", "tok").join(shared.withColumn("hot", F.col("df") >= frequent), "tok"), "lists")
-    release(kept.sparkSession)
-    of_group = F.sort_array(F.collect_list(F.when(F.col("hot"), F.col("pos"))))
-    group = lists.groupBy("gid").agg(of_group.alias("at"), F.sum(F.log2("df")).alias("core"))
-    group = group.join(kept.select(F.col("cid").alias("gid"), "n", "p", F.size("toks").alias("size")), "gid")
-    group = group.withColumn("odd", F.col("size") - F.size("at") < F.col("p")).withColumn("core", F.col("core") / F.col("size"))
-    both = lists.join(group, "gid")
-    before = F.size(F.filter("at", lambda x: x < F.col("pos")))
-    both = both.withColumn("place", F.when(F.col("odd") | F.col("hot"), F.col("pos")).otherwise(F.col("pos") - before))
-    return both.filter(F.col("place") < F.col("p")).select("gid", "n", "tok", F.col("place").alias("at"), "hot", "odd", "core")
-
-
-def _placed(members: DataFrame, roots: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members with the root of their component; the least and greatest root of each group; the lists, with
-    these, of shingles that several components hold."""
-    placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "gid", F.coalesce("root", "cid").alias("root"))
-    placed = materialize(placed, "placed")
-    of_group = materialize(placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")), "spans")
-    spread = lists.join(of_group, "gid")
-    open_ = materialize(spread.groupBy("tok").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l != h").select("tok"), "open")
-    return placed, of_group, materialize(spread.join(open_, "tok"), "spread")
-
-
-def similarity_components(docs: DataFrame, *, shingle: int = 4, percent: int = 85, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                yield pa.RecordBatch.from_arrays([part.column("cid").take(pa.array(ok, pa.int64())), pa.array([len(s) for s in sets], pa.int32()), _lists(sets)], names=["cid", "n", "toks"])
+
+    return src.mapInArrow(run, "cid bigint, n int, toks array<bigint>")
+
+
+class _Join:
+    """What the rounds share: classes (cid, doc, hash, cls, gid, size, n, core, odd) and lists (tok, gid, n, at, core)."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, lists: DataFrame, shingle: int, percent: int, id_col: str, text_col: str):
+        self.docs, self.classes, self.lists, self.shingle, self.percent, self.id_col, self.text_col = docs, classes, lists, shingle, percent, id_col, text_col
+        self.placed = classes.select("cid", "gid", F.col("cid").alias("root"))
+
+    def tight(self, n, at, m, bt):
+        """Whether a shingle at places ``at`` and ``bt`` of sets of n and m may be the one that they must share."""
+        o = F.floor((self.percent * (n + m) + 99 + self.percent) / (100 + self.percent))
+        return (100 * n >= self.percent * m) & (100 * m >= self.percent * n) & (at <= n - o) & (bt <= m - o)
+
+    def both(self, pairs: DataFrame, sets: DataFrame, *names: str) -> DataFrame:
+        side = lambda c: sets.select(F.col("cid").alias(c), *[F.col(x).alias(x + c) for x in names])
+        return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) of classes, those that link."""
+        both = self.both(pairs, self.classes, "n", "odd")
+        apart = F.aggregate(F.zip_with("odda", "oddb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+        maybe = materialize(both.filter((100 + self.percent) * apart <= (100 - self.percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), "pairs")
+        ends = maybe.select(F.col("a").alias("cid")).unionByName(maybe.select(F.col("b").alias("cid"))).distinct()
+        wanted = materialize(self.classes.join(ends, "cid", "left_semi").select("cid", "doc", "hash", "cls"), "wanted")
+        sets = materialize(_whole_sets(self.docs, wanted, self.shingle, self.id_col, self.text_col), "sets")
+        shared = self.both(maybe, sets, "n", "toks").withColumn("i", F.size(F.array_intersect("toksa", "toksb")))
+        return materialize(shared.filter(100 * F.col("i") >= self.percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b").distinct(), "links")
+
+    def merge(self, links: DataFrame) -> None:
+        """Puts the classes that ``links`` tie together into one component."""
+        up = lambda c: self.placed.select(F.col("cid").alias(c), F.col("root").alias(f"r{c}"))
+        over = connected_components(links.join(up("a"), "a").join(up("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        over = over.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        self.placed = materialize(self.placed.join(over, "root", "left").select("cid", "gid", F.coalesce("top", "root").alias("root")), "placed")
+
+    def with_centres(self, nth: int) -> None:
+        """Each group with one of its list and size band, each member with one of its group, where their components differ."""
+        import math
+
+        rank = lambda c: F.struct(F.col("core") if nth == 0 else F.xxhash64(c, F.lit(nth)).alias("core"), F.col(c).alias("v"))
+        step = F.log(F.col("n").cast("double")) * (1 / max(1e-3, math.log(100 / self.percent)))
+        bands = F.array(2 * F.floor(step), 2 * F.floor(step + 0.5) + 1)  # overlapping, so that no border parts near copies
+        of_group = self.placed.filter("cid = gid").select("gid", "root")
+        near = self.lists.join(of_group, "gid").withColumn("band", F.explode(bands))
+        first = near.groupBy("tok", "band").agg(F.max_by(F.struct("gid", "n", "at", "root"), rank("gid")).alias("f"))
+        near = near.join(first, ["tok", "band"]).filter((F.col("root") != F.col("f.root")) & self.tight(F.col("n"), F.col("at"), F.col("f.n"), F.col("f.at")))
+        members = self.placed.join(self.classes.filter("size > 1").select("cid", "core"), "cid")
+        inside = members.join(members.groupBy("gid").agg(F.max_by(F.struct("cid", "root"), rank("cid")).alias("f")), "gid").filter("root != f.root")
+        self.merge(self.links(near.select(F.col("f.gid").alias("a"), F.col("gid").alias("b")).unionByName(inside.select(F.col("f.cid").alias("a"), F.col("cid").alias("b")))))
+
+    def with_all(self) -> None:
+        """Everything whose ends are still apart."""
+        of_group = materialize(self.placed.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")), "spans")
+        spread = self.lists.join(of_group, "gid")
+        open_ = spread.groupBy("tok").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l != h").select("tok")
+        spread = materialize(spread.join(open_, "tok"), "spread")
+        x, y = spread.alias("x"), spread.alias("y")
+        apart = (F.col("x.low") != F.col("y.high")) | (F.col("x.high") != F.col("y.low"))
+        pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.gid") < F.col("y.gid")) & apart & self.tight(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
+        pairs = pairs.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
+        pairs = pairs.unionByName(of_group.filter("low != high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
+        side = lambda c: self.placed.select(F.col("gid").alias(f"g{c}"), F.col("cid").alias(c), F.col("root").alias(f"r{c}"))
+        self.merge(self.links(pairs.join(side("a"), "ga").join(side("b"), "gb").filter("ra != rb AND (ga != gb OR a < b)").select("a", "b")))
+
+
+def similarity_components(docs: DataFrame, *, shingle: int = 4, percent: int = 85, sketch_bits: int = SKETCH_BITS, centres: int = CENTRES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, n_class (documents with the same set)."""
-    rows, linked = _components(pick(docs, id_col, text_col), shingle, percent, frequent, id_col, text_col)
+    rows, linked = _components(pick(docs, id_col, text_col), shingle, percent, sketch_bits, centres, id_col, text_col)
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(linked.join(least, "root").select("cls", "copies", "component_id"), "named")
-    out = rows.filter("n > 0").select("doc_id", "n", "cls").join(named, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("copies").alias("n_class"))
-    return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_class")))
+    out = rows.filter("n > 0").select("doc_id", "n", "cls").join(named, "cls").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("copies").alias("n_class"))
+    return out.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_class")))
 
 
-def _components(docs: DataFrame, shingle: int, percent: int, frequent: int, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, shingle: int, percent: int, sketch_bits: int, centres: int, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The signatures of all rows, numbered by rid; and (cls, cid, least, copies, root) of each class: the least
     id and the number of its rows, and one class of its component."""
-    rows = materialize(_signatures(docs, shingle, percent, id_col, text_col, keep).withColumn("rid", F.monotonically_increasing_id()), "signatures")
+    levels = shingle_levels(docs, shingle, sketch_bits, text_col)
+    rows = materialize(_signatures(docs, levels, shingle, percent, id_col, text_col, keep).withColumn("rid", F.monotonically_increasing_id()), "signatures")
     slim = rows.filter("n > 0")
-    classes = slim.groupBy("cls").agg(F.min("rid").alias("cid"), F.min_by("doc_id", "rid").alias("doc"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("grp").alias("grp"))
-    classes = materialize(classes, "classes")
+    classes = slim.groupBy("cls").agg(F.min("rid").alias("cid"), F.min_by(F.struct("doc_id", "hash"), "rid").alias("first"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("grp").alias("grp"))
+    classes = materialize(classes.select("cls", "cid", F.col("first.doc_id").alias("doc"), "first.hash", "least", "copies", "grp"), "classes")
     groups = classes.groupBy("grp").agg(F.min("cid").alias("gid"), F.count(F.lit(1)).alias("size"))
-    members = materialize(classes.select("cid", "grp").join(groups, "grp").select("cid", "gid", "size"), "members")
-    # what the groups keep: rows but those that stand for no group, and those are few
-    other = slim.select("rid").join(members.filter("cid = gid").select(F.col("cid").alias("rid")), "rid", "left_anti")
-    other = materialize(other, "others")
-    kept = slim.withColumn("p", F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).select(F.col("rid").alias("cid"), "n", "p", "toks")
-    of_groups = kept.join(other.withColumnRenamed("rid", "cid"), "cid", "left_anti")
-    lists = materialize(_inverted_lists(of_groups, frequent), "joined")
-    release(docs.sparkSession)
-    args = (kept.select("cid", "n", "toks"), classes.select("cid", "doc", "cls"), docs, shingle, percent, id_col, text_col)
-
-    # round one: with the first of the group, of the list and size band
-    step = F.log(F.col("n").cast("double")) * (1 / _log_step(percent))
-    bands = F.array(2 * F.floor(step), 2 * F.floor(step + 0.5) + 1)  # overlapping, so that no border parts near copies
-    near = lists.filter("odd OR NOT hot").withColumn("band", F.explode(bands))
-    firsts = near.groupBy("tok", "band").agg(F.max(F.struct("core", "gid")).alias("f"))
-    near = near.join(firsts, ["tok", "band"]).filter("gid != f.gid").groupBy(F.col("f.gid").alias("a"), F.col("gid").alias("b")).agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
-    near = near.filter(F.col("shared") * 400 >= (100 - percent) * F.col("n"))  # a quarter of a prefix, else it's left to round two
-    inside = members.filter("gid != cid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
-    links = _links(near.select("a", "b").unionByName(inside), *args)
-    placed, of_group, spread = _placed(members, connected_components(links), lists)
-    release(docs.sparkSession)
-
-    # round two: everything whose ends are still apart
-    x, y = spread.alias("x"), spread.alias("y")
-    size_ok = (100 * F.col("x.n") >= percent * F.col("y.n")) & (F.col("x.n") <= F.col("y.n"))
-    apart = (F.col("x.low") != F.col("y.high")) | (F.col("x.high") != F.col("y.low"))
-    once = (F.col("x.n") < F.col("y.n")) | (F.col("x.gid") < F.col("y.gid"))
-    asked = ~F.col("x.hot") | F.col("x.odd") | F.col("y.odd")
-    after = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
-    pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & size_ok & apart & once & asked).groupBy(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).agg(F.count(F.lit(1)).alias("shared"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"), F.min(after).alias("after"), F.max(F.col("x.odd") != F.col("y.odd")).alias("mixed"))
-    # what can be shared besides: no more than the rest of the set whose prefix ends first; and, under one
-    # order, no more than either set has after the last shared shingle
-    rest = lambda n: F.floor((percent * F.col(n) + 99) / 100) - 1
-    besides = F.least(F.greatest(rest("na"), rest("nb")), F.when(~F.col("mixed"), F.col("after")))
-    pairs = pairs.filter((F.col("shared") + besides) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("ga", "gb")
-    pairs = pairs.unionByName(of_group.filter("low != high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb")))
-    side = lambda c: placed.select(F.col("gid").alias(f"g{c}"), F.col("cid").alias(c), F.col("root").alias(f"r{c}"))
-    pairs = pairs.join(side("a"), "ga").join(side("b"), "gb").filter("ra != rb AND (ga != gb OR a < b)").select("a", "b")
-    more = _links(pairs, *args)
-    up = placed.select(F.col("cid").alias("a"), F.col("root").alias("ra"))
-    lift = more.join(up, "a").join(up.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    over = connected_components(lift).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    final = placed.join(over, "root", "left").select("cid", F.coalesce("top", "root").alias("root"))
-    return rows, materialize(classes.select("cls", "cid", "least", "copies").join(final, "cid"), "final")
-
-
-def _log_step(percent: int) -> float:
-    import math
-
-    return max(1e-3, math.log(100 / percent))
+    sketches = slim.select(F.col("rid").alias("cid"), "n", "core", "odd")
+    members = materialize(classes.select("cid", "doc", "hash", "cls", "grp").join(groups, "grp").drop("grp").join(sketches, "cid"), "members")
+    # rows but those that stand for no group, and those are few
+    other = materialize(slim.select("rid").join(members.filter("cid = gid").select(F.col("cid").alias("rid")), "rid", "left_anti"), "others")
+    each = slim.join(other, "rid", "left_anti").select(F.col("rid").alias("gid"), "n", "core", F.posexplode("toks").alias("at", "tok"))
+    shared = each.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("tok")
+    lists = materialize(each.join(shared, "tok"), "lists")
+    join = _Join(docs, members, lists, shingle, percent, id_col, text_col)
+    for nth in range(centres):
+        join.with_centres(nth)
+    join.with_all()
+    return rows, materialize(classes.select("cls", "cid", "least", "copies").join(join.placed.select("cid", "root"), "cid"), "final")
 
 
 def keep_one_of_each(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,7 +281,7 @@ def keep_one_of_each(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id
     that only share an id with a dropped one, or a null id, are left alone."""
     keys = {"__a": F.xxhash64(docs[text_col]), "__b": F.xxhash64(F.lit(1), docs[text_col])}
     src = docs.select(docs[id_col], docs[text_col], *[c.alias(k) for k, c in keys.items()])
-    rows, linked = _components(src, shingle, percent, FREQUENT, id_col, text_col, tuple(keys))
+    rows, linked = _components(src, shingle, percent, SKETCH_BITS, CENTRES, id_col, text_col, tuple(keys))
     own = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("__id"), *keys).alias("own")
     placed = materialize(rows.filter("n > 0").select(own, "cls").join(linked.select("cls", "root"), "cls").select("root", "own"), "members")
     first = placed.groupBy("root").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")

@@ -99,9 +99,9 @@ def similar(rows, k, percent):
     return sorted((i, len(sets[a]), least[find(a)]) for a, (i, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("frequent", "shingle", "percent"), [(24, 4, 85), (3, 4, 85), (2, 5, 80), (6, 3, 60)])
-def test_similarity_join(docs_of, frequent, shingle, percent):
-    rng = random.Random(frequent)
+@pytest.mark.parametrize(("bits", "centres", "shingle", "percent"), [(22, 2, 4, 85), (3, 0, 4, 85), (12, 1, 5, 80), (8, 3, 3, 60)])
+def test_similarity_join(docs_of, bits, centres, shingle, percent):
+    rng = random.Random(bits)
     passage, rows = words(rng, 40, 9999), []
     for _ in range(18):
         base = words(rng, rng.randint(5, 60))
@@ -116,10 +116,24 @@ def test_similarity_join(docs_of, frequent, shingle, percent):
             rows.append((len(rows) * 7 + 3, " ".join(w)))
     rows += [(9001, None), (9002, ""), (9003, "one"), (9004, "ONE"), (9005, "a b"), (9006, "  "), (9007, "é É"), (9008, "q " * 50_000)]
     rows += [rows[0], (1, rows[0][1])]
-    got = jaccard_join.similarity_components(docs_of(rows), shingle=shingle, percent=percent, frequent=frequent)
+    got = jaccard_join.similarity_components(docs_of(rows), shingle=shingle, percent=percent, sketch_bits=bits, centres=centres)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == similar(rows, shingle, percent)
 
 
+def test_near_copies_that_do_not_all_link(docs_of, spark):
+    rng = random.Random(11)
+    base, rows = words(rng, 60, 9999), []
+    for i in range(600):
+        w = base[:]
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+            w[rng.randrange(60)] = f"E{rng.randint(0, 500)}"
+        rows.append((i, " ".join(w)))
+    want = similar(rows, 4, 85)
+    assert 50 < len({c for _, _, c in want}) < 500
+    got = jaccard_join.similarity_components(docs_of(rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
 def test_similarity_of_nothing(docs_of):
     assert jaccard_join.similarity_components(docs_of([])).count() == 0
     kept = jaccard_join.keep_one_of_each(docs_of(["a b c d e f g h", "a b c d e f g h", None, None, "z"]))
