@@ -40,7 +40,7 @@ from .words import chunks, hash_words, roll, texts_of
 SKETCH_BITS = 22
 #: Counters in a row of partial counts.
 SLICE = 1 << 14
-#: Bits of a sketch of parities.
+#: Least bits of a sketch of parities; larger sets have as many as shingles, to the next power of two.
 PARITY_BITS = 1024
 #: Classes whose ids are sent to all executors to fetch their texts; more of them are joined by a shuffle.
 MOST_SENT = 1 << 19
@@ -86,10 +86,17 @@ def prefix_length(n, percent: int):
 
 
 def _parities(s):
-    """Of each of PARITY_BITS classes of shingles, whether the set has an odd number of them."""
+    """Of each class of shingles, whether the set has an odd number of them, 64 classes to a number."""
     import numpy as np
 
-    return np.packbits((np.bincount((s >> 32) % PARITY_BITS, minlength=PARITY_BITS) & 1).astype(np.uint8)).view(np.int64)
+    bits = max(PARITY_BITS, 1 << (len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s >> 24) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _folded(x, size):
+    """A sketch of parities with fewer classes: halves, quarters and so on are added up."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / size).cast("int") - 1), lambda i: F.slice(x, i * size + 1, size))
+    return F.when(F.size(x) == size, F.col(x)).otherwise(F.aggregate(parts, F.array_repeat(F.lit(0).cast("long"), size), lambda a, b: F.zip_with(a, b, lambda p, q: p.bitwiseXOR(q))))
 
 
 def shingle_levels(docs: DataFrame, k: int, bits: int = SKETCH_BITS, text_col: str = "text") -> bytes:
@@ -195,9 +202,10 @@ class _Join:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) of classes, those that link."""
-        both = self.both(pairs, self.classes, "n", "odd")
-        apart = F.aggregate(F.zip_with("odda", "oddb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
-        maybe = materialize(both.filter((100 + self.percent) * apart <= (100 - self.percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), "pairs")
+        both = self.both(pairs.distinct(), self.classes, "n", "odd")
+        size = F.least(F.size("odda"), F.size("oddb"))
+        apart = F.aggregate(F.zip_with(_folded("odda", size), _folded("oddb", size), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda s, x: s + x)
+        maybe = materialize(both.filter((100 + self.percent) * apart <= (100 - self.percent) * (F.col("na") + F.col("nb"))).select("a", "b"), "pairs")
         ends = maybe.select(F.col("a").alias("cid")).unionByName(maybe.select(F.col("b").alias("cid"))).distinct()
         wanted = materialize(self.classes.join(ends, "cid", "left_semi").select("cid", "doc", "hash", "cls"), "wanted")
         sets = materialize(_whole_sets(self.docs, wanted, self.shingle, self.id_col, self.text_col), "sets")
