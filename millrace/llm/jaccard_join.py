@@ -44,8 +44,9 @@ SLICE = 1 << 14
 PARITY_BITS = 1024
 #: Classes whose ids are sent to all executors to fetch their texts; more of them are joined by a shuffle.
 MOST_SENT = 1 << 19
-#: Rounds in which groups are compared with one of their list only.
-CENTRES = 2
+#: Rounds in which groups are compared with one of their list only, and the groups that a list has to hold for
+#: the rounds after the first; the last round is complete whatever these are.
+CENTRES, LONG = 2, 32
 
 
 def shingle_sets(texts: list[bytes], k: int):
@@ -132,7 +133,7 @@ def shingle_levels(docs: DataFrame, k: int, bits: int = SKETCH_BITS, text_col: s
 
     partial = docs.select(docs[text_col].alias("__text")).mapInArrow(count, "slice int, counts binary")
     counts = np.zeros((width // each, each), np.uint64)
-    for i, x in partial.repartition(min(64, width // each), "slice").mapInArrow(add, "slice int, counts binary").collect():  # at most width numbers
+    for i, x in partial.repartition("slice").mapInArrow(add, "slice int, counts binary").collect():  # at most width numbers
         counts[i] = np.frombuffer(zlib.decompress(x), np.uint64)
     counts = counts.ravel().astype(np.float64)
     usual = counts.mean()
@@ -185,7 +186,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_co
 
 
 class _Join:
-    """What the rounds share: classes (cid, doc, hash, cls, gid, size, n, core, odd) and lists (tok, gid, n, at, core)."""
+    """What the rounds share: classes (cid, doc, hash, cls, gid, size, n, core, odd) and lists (tok, df, gid, n, at, core)."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, lists: DataFrame, shingle: int, percent: int, id_col: str, text_col: str):
         self.docs, self.classes, self.lists, self.shingle, self.percent, self.id_col, self.text_col = docs, classes, lists, shingle, percent, id_col, text_col
@@ -214,20 +215,27 @@ class _Join:
 
     def merge(self, links: DataFrame) -> None:
         """Puts the classes that ``links`` tie together into one component."""
+        if links.isEmpty():
+            return
         up = lambda c: self.placed.select(F.col("cid").alias(c), F.col("root").alias(f"r{c}"))
         over = connected_components(links.join(up("a"), "a").join(up("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         over = over.select(F.col("node").alias("root"), F.col("root").alias("top"))
         self.placed = materialize(self.placed.join(over, "root", "left").select("cid", "gid", F.coalesce("top", "root").alias("root")), "placed")
 
     def with_centres(self, nth: int) -> None:
-        """Each group with one of its list and size band, each member with one of its group, where their components differ."""
+        """Each group with one of its list and size band, each member with one of its group, where their components
+        differ.  Only by shingles that must be shared by sets of one size; after the first time, only in long lists."""
         import math
 
         rank = lambda c: F.struct(F.col("core") if nth == 0 else F.xxhash64(c, F.lit(nth)).alias("core"), F.col(c).alias("v"))
         step = F.log(F.col("n").cast("double")) * (1 / max(1e-3, math.log(100 / self.percent)))
         bands = F.array(2 * F.floor(step), 2 * F.floor(step + 0.5) + 1)  # overlapping, so that no border parts near copies
-        of_group = self.placed.filter("cid = gid").select("gid", "root")
-        near = self.lists.join(of_group, "gid").withColumn("band", F.explode(bands))
+        near = self.lists.filter(self.tight(F.col("n"), F.col("at"), F.col("n"), F.col("at")))
+        if nth == 0:
+            near = near.withColumn("root", F.col("gid"))
+        else:
+            near = near.filter(F.col("df") >= LONG).join(self.placed.filter("cid = gid").select("gid", "root"), "gid")
+        near = near.withColumn("band", F.explode(bands))
         first = near.groupBy("tok", "band").agg(F.max_by(F.struct("gid", "n", "at", "root"), rank("gid")).alias("f"))
         near = near.join(first, ["tok", "band"]).filter((F.col("root") != F.col("f.root")) & self.tight(F.col("n"), F.col("at"), F.col("f.n"), F.col("f.at")))
         members = self.placed.join(self.classes.filter("size > 1").select("cid", "core"), "cid")
@@ -272,7 +280,7 @@ def _components(docs: DataFrame, shingle: int, percent: int, sketch_bits: int, c
     # rows but those that stand for no group, and those are few
     other = materialize(slim.select("rid").join(members.filter("cid = gid").select(F.col("cid").alias("rid")), "rid", "left_anti"), "others")
     each = slim.join(other, "rid", "left_anti").select(F.col("rid").alias("gid"), "n", "core", F.posexplode("toks").alias("at", "tok"))
-    shared = each.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("tok")
+    shared = each.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     lists = materialize(each.join(shared, "tok"), "lists")
     join = _Join(docs, members, lists, shingle, percent, id_col, text_col)
     for nth in range(centres):
