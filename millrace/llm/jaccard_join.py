@@ -44,6 +44,8 @@ SLICE = 1 << 14
 PARITY_BITS = 1024
 #: Classes whose ids are sent to all executors to fetch their texts; more of them are joined by a shuffle.
 MOST_SENT = 1 << 19
+#: Bytes of text whose words a worker holds at once, if it's more than one text.
+BLOCK = 1 << 21
 #: Rounds in which groups are compared with one of their list only, and the groups that a list has to hold for
 #: the rounds after the first; the last round is complete whatever these are.
 CENTRES, LONG = 2, 32
@@ -114,9 +116,8 @@ def shingle_levels(docs: DataFrame, k: int, bits: int = SKETCH_BITS, text_col: s
 
         total = np.zeros(width, np.uint32)
         for batch in batches:
-            for part in chunks(batch):
-                sets = shingle_sets(texts_of(part), k)
-                total += np.bincount(np.concatenate(sets) & (width - 1), minlength=width).astype(np.uint32)
+            for part in chunks(batch, most=BLOCK):
+                np.add.at(total, np.concatenate(shingle_sets(texts_of(part), k)) & (width - 1), np.uint32(1))
         rows = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(total.reshape(-1, each)) if x.any()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["slice", "counts"])
 
@@ -152,7 +153,7 @@ def _signatures(docs: DataFrame, levels: bytes, k: int, percent: int, id_col: st
 
         level = np.frombuffer(zlib.decompress(levels), np.uint8)
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=BLOCK):
                 sets = shingle_sets(texts_of(part), k)
                 common = [level[s & (len(level) - 1)] for s in sets]
                 core = [int(1000 * c.mean()) if len(c) else 0 for c in common]
@@ -176,7 +177,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_co
         import pyarrow as pa
 
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=BLOCK):
                 sets = shingle_sets(texts_of(part), k)
                 ok = [i for i, (s, c) in enumerate(zip(sets, part.column("cls").to_pylist(), strict=True)) if _digest(s) == c]
                 sets = [sets[i] for i in ok]
