@@ -1,4 +1,4 @@
-"""After-images of INSERT, UPDATE and DELETE, as joins; nothing is collected.
+"""After-images of UPDATE and DELETE, as joins; nothing is collected.
 
 Keys are checked by semi and anti joins, so they hold for any number of rows at once.
 """
@@ -7,58 +7,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _in(rows: DataFrame, column: str, keys: DataFrame, how: str) -> DataFrame:
-    k = keys.select(keys.columns[0]).toDF("__key").distinct()
-    return rows.join(k, rows[column] == k["__key"], how)
-
-
-def insertable(rows: DataFrame, target: DataFrame, pk: str | None, parents: dict[str, DataFrame]) -> DataFrame:
-    """Of new rows, those whose foreign keys exist and whose primary key is new; of equal new keys, none but one stays.
-
-    parents: column to a one-column frame of the keys it refers to.
-    """
-    for column, keys in parents.items():
-        rows = _in(rows, column, keys, "left_semi")
-    if pk is not None:
-        rows = _in(rows, pk, target.select(pk), "left_anti").dropDuplicates([pk])
-    return rows
-
-
-def with_defaults(rows: DataFrame, defaults: dict[str, int | str], columns: list[str]) -> DataFrame:
-    """The given columns in order; those that rows lack get their default."""
-    return rows.select(*[rows[c] if c in rows.columns else F.lit(defaults[c]).alias(c) for c in columns])
-
-
-def with_auto_pk(rows: DataFrame, first: int, order: list[str], name: str = "autoPK") -> DataFrame:
-    """A leading key that counts up from ``first`` in the given order.
-
-    Numbers are prefix sums over ranges of the order, so no task sorts all rows.
-    """
-    keys = [F.col(c) for c in order]
-    parts = rows.repartitionByRange(*keys).withColumn("__p", F.spark_partition_id())
-    counts = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.withColumn("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*keys)) - 1
-    out = parts.withColumn("__i", inside).join(before, "__p")
-    return out.select((F.col("__i") + F.col("__b") + first).cast("int").alias(name), *rows.columns)
-
-
 def referenced(children: list[DataFrame]) -> DataFrame | None:
     """All values in the foreign keys of other tables, given as one-column frames."""
     frames = [c.toDF("__key") for c in children]
     return reduce(DataFrame.unionByName, frames).distinct() if frames else None
 
 
-def deletable(rows: DataFrame, pk: str | None, children: list[DataFrame]) -> DataFrame:
-    """Of rows asked to go, those that no other table refers to."""
-    keys = referenced(children)
-    return rows if keys is None or pk is None else rows.join(keys, rows[pk] == keys["__key"], "left_anti")
-
-
 def delete_rows(target: DataFrame, where: Column | None, pk: str | None, children: list[DataFrame]) -> DataFrame:
     """What is left of the target: rows that don't match, and rows that are referred to."""
     if where is None:

@@ -74,23 +74,9 @@ def order_rows(df: DataFrame, keys: list[tuple[Column, bool]]) -> DataFrame:
     return df.orderBy(*[c.asc() if up else c.desc() for c, up in keys]) if keys else df
 
 
-def rename_all(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.toDF(*names)
-
-
 def key_lookup(df: DataFrame, key: str, value: int | str) -> DataFrame:
     """The row of a key; the filter reaches the file scan."""
     return df.filter(df[f"`{key}`"] == F.lit(value))
 
 
-def key_range(df: DataFrame, key: str, low=None, high=None, *, with_low: bool = True, with_high: bool = True) -> DataFrame:
-    """Rows from one key to another; the filter reaches the file scan and skips row groups."""
-    c = df[f"`{key}`"]
-    if low is not None:
-        df = df.filter(c >= low if with_low else c > low)
-    if high is not None:
-        df = df.filter(c <= high if with_high else c < high)
-    return df
-
-
-__all__ = ["column", "cross_product", "equi_joins", "filter_rows", "key_lookup", "key_range", "order_rows", "pk_join", "project", "rename_all", "scan"]
+__all__ = ["column", "cross_product", "equi_joins", "filter_rows", "key_lookup", "order_rows", "pk_join", "project", "scan"]

@@ -1,20 +1,24 @@
 """One query for each operator of the dialect, over the star-schema tables, with the SQL that must agree.
 
-SELECTs are statements of the dialect, run by the engine's own parser and binder; changes are the after-images
-that the engine would commit.
+SELECTs are statements of the dialect, run by the engine's own parser and binder; UPDATE, DELETE and DROP are the
+after-images and checks that the engine uses; CREATE, INSERT, SHOW and SCHEMA are statements on an engine of their
+own, which refers to the tables.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import EngineError
 from .operators import dml
-from .operators import relational as R
 from .plans.parser import parse
 from .plans.select import plan_select
+from .session import Engine
 
 #: Columns of the tables that wildcards expand to, and primary keys.
 COLUMNS = {
@@ -79,7 +83,7 @@ STATEMENTS: dict[str, tuple[str, bool, str]] = {
     "hash_join_4way": ("SELECT $ FROM region, nation, customer, orders WHERE region.r_regionkey == nation.n_regionkey AND nation.n_nationkey == customer.c_nationkey AND customer.c_custkey == orders.o_custkey", True, f"SELECT {qualified('region', 'nation', 'customer', 'orders')} FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey"),
     "hash_join_bushy": ("SELECT $ FROM supplier, orders, nation, customer WHERE supplier.s_nationkey == nation.n_nationkey AND customer.c_custkey == orders.o_custkey AND nation.n_nationkey == customer.c_nationkey AND supplier.s_suppkey < 20", True, f"SELECT {qualified('supplier', 'orders', 'nation', 'customer')} FROM supplier, orders, nation, customer WHERE s_nationkey = n_nationkey AND c_custkey = o_custkey AND n_nationkey = c_nationkey AND s_suppkey < 20"),
     "hash_join_nonkey": ("SELECT $ FROM supplier, customer WHERE supplier.s_nationkey == customer.c_nationkey", True, f"SELECT {qualified('supplier', 'customer')} FROM supplier JOIN customer ON s_nationkey = c_nationkey"),
-    "hash_join_string_key": ("SELECT $ FROM nation, region WHERE nation.n_name == region.r_name", True, f"SELECT {qualified('nation', 'region')} FROM nation JOIN region ON n_name = r_name"),
+    "hash_join_string_key": ("SELECT $ FROM orders, lineitem WHERE orders.o_orderstatus == lineitem.l_linestatus AND orders.o_orderkey == lineitem.l_orderkey", True, f"SELECT {qualified('orders', 'lineitem')} FROM orders JOIN lineitem ON o_orderstatus = l_linestatus AND o_orderkey = l_orderkey"),
     "hash_join_two_keys": ("SELECT $ FROM customer, supplier WHERE customer.c_nationkey == supplier.s_nationkey AND customer.c_custkey == supplier.s_suppkey", True, f"SELECT {qualified('customer', 'supplier')} FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey = s_suppkey"),
     "join_residual": ("SELECT $ FROM customer, nation WHERE customer.c_nationkey == nation.n_nationkey AND customer.c_custkey * 7 + nation.n_regionkey * 15 - customer.c_nationkey > 2100", True, f"SELECT {qualified('customer', 'nation')} FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey * 7 + n_regionkey * 15 - c_nationkey > 2100"),
     "join_range_filters": ("SELECT $ FROM customer, orders WHERE customer.c_custkey == orders.o_custkey AND customer.c_custkey > 1 AND orders.o_orderkey <= 8500", True, f"SELECT {qualified('customer', 'orders')} FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey > 1 AND o_orderkey <= 8500"),
@@ -87,30 +91,67 @@ STATEMENTS: dict[str, tuple[str, bool, str]] = {
 }
 
 
-def _new_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows to insert: every tenth order names a customer 700 further on, in a nation that may not exist."""
-    o = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 10 == 0)
-    return o.select((F.col("o_custkey") + 700).alias("c_custkey"), (F.col("o_custkey") % 30).cast("int").alias("c_nationkey")).distinct()
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{named.rstrip('/')}/millrace-{uuid.uuid4().hex}" if named else f"file://{tempfile.mkdtemp(prefix='millrace-')}"
 
 
-_NEW = "(SELECT DISTINCT o_custkey + 700 AS c_custkey, CAST(o_custkey % 30 AS INTEGER) AS c_nationkey FROM orders WHERE o_orderkey % 10 = 0)"
-
-
-def insert_pk_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dml.insertable(_new_customers(spark, sf_dir), table(spark, sf_dir, "customer"), "c_custkey", {})
-
-
-def insert_fk_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dml.insertable(_new_customers(spark, sf_dir), table(spark, sf_dir, "customer"), None, {"c_nationkey": table(spark, sf_dir, "nation").select("n_nationkey")})
+def after(script: str, *tables: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The rows of the last statement of a script, on an engine that reads the named tables.  Statements that
+    constraints refuse change nothing and don't end the script."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        db = Engine(spark, scratch(spark))
+        for t in tables:
+            db.register(t, f"{sf_dir}/{t}.parquet", KEYS.get(t))
+        for result in (results := db.run(script)):
+            if result.error:
+                raise EngineError(result.message)
+        return results[-1].df
 
-def insert_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dml.with_defaults(_new_customers(spark, sf_dir), {"c_name": "none", "c_mktsegment": "OTHER"}, ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+    return run
 
 
-def insert_autopk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") == 1).select("l_orderkey", "l_partkey").distinct()
-    return dml.with_auto_pk(lines, 0, ["l_orderkey", "l_partkey"])
+_MEMBERS = [(1, 3, "one"), (2, 99, "two"), (1, 4, "again"), (3, 24, "a longer name"), (4, -1, "four")]
+_MEMBER_SQL = "(VALUES " + ", ".join(f"({k}, {i}, {n}, '{name[:6]}')" for k, (i, n, name) in enumerate(_MEMBERS)) + ") v(k, i, n, name)"
+_insert_members = "; ".join(f"INSERT Member(id, nation, name) VALUES({i}, {n}, '{name}')" for i, n, name in _MEMBERS)
+
+#: name: (script, tables, SQL)
+SCRIPTS: dict[str, tuple[str, tuple[str, ...], str]] = {
+    "insert_pk_check": (
+        f"CREATE TABLE Member(id INT PK, nation INT, name VARCHAR(6)); {_insert_members}; SELECT $ FROM Member",
+        (),
+        f"SELECT i AS id, n AS nation, name FROM {_MEMBER_SQL} WHERE k IN (SELECT min(k) FROM {_MEMBER_SQL} GROUP BY i)",
+    ),
+    "insert_fk_check": (
+        f"CREATE TABLE Member(id INT, nation INT REFERENCES nation, name CHAR(6)); {_insert_members}; SELECT id, nation, name FROM Member",
+        ("nation",),
+        f"SELECT i AS id, n AS nation, name FROM {_MEMBER_SQL} WHERE n IN (SELECT n_nationkey FROM nation)",
+    ),
+    "insert_default": (
+        "CREATE TABLE Note(id INT PK, body VARCHAR(4) DEFAULT 'no' + 'thing', n INT DEFAULT 2 + 3 * 4); INSERT Note(id) VALUES(1); INSERT Note(id, body) VALUES(2, 'longer'); INSERT Note(n, id) VALUES(-7, 3); SELECT $ FROM Note",
+        (),
+        "SELECT * FROM (VALUES (1, 'noth', 14), (2, 'long', 14), (3, 'noth', -7)) v(id, body, n)",
+    ),
+    "insert_autopk": (
+        "CREATE TABLE Note(body VARCHAR(9)); INSERT Note(body) VALUES('a'); INSERT Note(body) VALUES('b'); DELETE FROM Note WHERE body == 'b'; INSERT Note(body) VALUES('c'); SELECT $ FROM Note",
+        (),
+        'SELECT * FROM (VALUES (0, \'a\'), (2, \'c\')) v("autoPK", body)',
+    ),
+    "show_schema": (
+        "CREATE TABLE Empty(id INT PK, name VARCHAR(9)); SCHEMA",
+        tuple(COLUMNS),
+        'SELECT t AS "table", size, c AS "column", CAST(p AS INTEGER) AS position FROM (VALUES ' + ", ".join(f"('{t}', {i}, '{c}')" for t, cs in {**COLUMNS, "Empty": ["id", "name"]}.items() for i, c in enumerate(cs)) + ") v(t, p, c) JOIN (SELECT 'Empty' AS n, CAST(0 AS BIGINT) AS size UNION ALL " + " UNION ALL ".join(f"SELECT '{t}', count(*) FROM {t}" for t in COLUMNS) + ") s ON s.n = v.t",
+    ),
+    "show_tables": (
+        "CREATE TABLE Empty(id INT PK); SHOW",
+        ("region", "nation"),
+        "SELECT 'region' AS \"table\", (SELECT count(*) FROM region) AS size, ['r_regionkey', 'r_name'] AS columns, CAST(to_json(region) AS VARCHAR) AS row FROM region UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), ['n_nationkey', 'n_name', 'n_regionkey'], CAST(to_json(nation) AS VARCHAR) FROM nation UNION ALL SELECT 'Empty', 0, ['id'], NULL",
+    ),
+}
 
 
 def update_where(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,39 +178,16 @@ def drop_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dml.droppable("n_nationkey", table(spark, sf_dir, "nation").select("n_nationkey"), [table(spark, sf_dir, "customer").select("c_nationkey"), table(spark, sf_dir, "supplier").select("s_nationkey")])
 
 
-def show_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = []
-    for name in ("nation", "region"):
-        df = table(spark, sf_dir, name)
-        names = F.array(*[F.lit(c) for c in df.columns])
-        parts.append(df.agg(F.count(F.lit(1)).alias("size")).select(F.lit(name).alias("table"), "size", F.posexplode(names).alias("position", "column")))
-    return parts[0].unionByName(parts[1])
-
-
-def show_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    return a.select(F.lit("region").alias("table"), F.concat_ws("\t", "r_regionkey", "r_name").alias("row")).unionByName(b.select(F.lit("nation").alias("table"), F.concat_ws("\t", "n_nationkey", "n_name", "n_regionkey").alias("row")))
-
-
-def lookup_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.key_range(table(spark, sf_dir, "part"), "p_partkey", 100, 140, with_low=False)
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: statement(s, ap) for n, (s, ap, _) in STATEMENTS.items()} | {
-    f.__name__: f for f in (insert_pk_check, insert_fk_check, insert_default, insert_autopk, update_where, update_fk_skip, delete_where, delete_fk_restrict, drop_check, show_schema, show_tables, lookup_by_key)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **{n: statement(text, ap) for n, (text, ap, _) in STATEMENTS.items()},
+    **{n: after(script, *tables) for n, (script, tables, _) in SCRIPTS.items()},
+    **{f.__name__: f for f in (update_where, update_fk_skip, delete_where, delete_fk_restrict, drop_check)},
 }
 
-ORACLES: dict[str, str] = {n: sql for n, (_, _, sql) in STATEMENTS.items()} | {
-    "insert_pk_check": f"SELECT * FROM {_NEW} n WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = n.c_custkey)",
-    "insert_fk_check": f"SELECT * FROM {_NEW} n WHERE c_nationkey IN (SELECT n_nationkey FROM nation)",
-    "insert_default": f"SELECT c_custkey, 'none' AS c_name, c_nationkey, 'OTHER' AS c_mktsegment FROM {_NEW}",
-    "insert_autopk": 'SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_partkey) - 1 AS INTEGER) AS "autoPK", l_orderkey, l_partkey FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_linenumber = 1)',
+ORACLES: dict[str, str] = {n: sql for n, (_, _, sql) in (*STATEMENTS.items(), *SCRIPTS.items())} | {
     "update_where": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey + c_nationkey ELSE c_custkey END AS c_custkey2, CAST(CASE WHEN c_custkey % 3 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS INTEGER) AS c_nationkey, c_custkey % 3 = 0 AS __changed FROM customer",
     "update_fk_skip": "SELECT c_custkey, CAST(CASE WHEN ok THEN c_nationkey + 5 ELSE c_nationkey END AS INTEGER) AS c_nationkey, ok AS __changed FROM (SELECT *, c_nationkey + 5 IN (SELECT n_nationkey FROM nation) AS ok FROM customer)",
     "delete_where": "SELECT * FROM customer WHERE NOT c_nationkey = 3",
     "delete_fk_restrict": "SELECT * FROM customer WHERE NOT (c_nationkey < 12 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey > 9000))",
     "drop_check": "SELECT NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)) AS droppable",
-    "show_schema": "SELECT t AS \"table\", size, CAST(p AS INTEGER) AS position, c AS \"column\" FROM (VALUES ('nation', 0, 'n_nationkey'), ('nation', 1, 'n_name'), ('nation', 2, 'n_regionkey'), ('region', 0, 'r_regionkey'), ('region', 1, 'r_name')) v(t, p, c) JOIN (SELECT 'nation' AS n, count(*) AS size FROM nation UNION ALL SELECT 'region', count(*) FROM region) s ON s.n = v.t",
-    "show_tables": "SELECT 'region' AS \"table\", concat_ws(chr(9), r_regionkey, r_name) AS row FROM region UNION ALL SELECT 'nation', concat_ws(chr(9), n_nationkey, n_name, n_regionkey) FROM nation",
-    "lookup_by_key": "SELECT * FROM part WHERE p_partkey > 100 AND p_partkey <= 140",
 }

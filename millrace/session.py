@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +20,24 @@ from .sources.catalog import AUTO_PK, Catalog, Column, State, Table
 FAILED = "SQL syntax error, please check query log: "
 
 
+def stored(value: int | str | None, length: int | None) -> int | str | None:
+    """A constant as a column keeps it: strings are cut to the column's length, numbers have 32 bits."""
+    if isinstance(value, str):
+        return value[:length]
+    if value is not None and not -(1 << 31) <= value < 1 << 31:
+        raise BindError(f"{value} is no INT of 32 bits")
+    return value
+
+
 @dataclass(frozen=True)
 class Result:
-    """message: what the statement reports; df: its rows, lazily; error: it failed and nothing changed."""
+    """message: what the statement reports; df: its rows, lazily; error: it failed and nothing changed; keys: the
+    columns by which rows are shown, where the statement asks for no order (they are not sorted in ``df``)."""
 
     message: str = ""
     df: DataFrame | None = None
     error: bool = False
+    keys: tuple[str, ...] = ()
 
 
 class Engine:
@@ -72,6 +84,8 @@ class Engine:
             return Result(str(e))
         except EngineError as e:
             return Result(FAILED + str(e), error=True)
+        except PySparkException as e:  # such as an overflow; nothing is committed before all rows are written
+            return Result(FAILED + str(e).split("\n", 1)[0], error=True)
 
     def query(self, text: str) -> DataFrame:
         """The rows of a SELECT; raises where ``execute`` would report."""
@@ -90,7 +104,8 @@ class Engine:
 
     def _do(self, s) -> Result:
         if isinstance(s, N.Select):
-            return Result(df=self._select(s))
+            df = self._select(s)
+            return Result(df=df, keys=() if s.order else self._shown_by(s, df))
         if isinstance(s, N.Command):
             return getattr(self, f"_{s.name.lower()}")()
         by = {N.CreateTable: self._create, N.DropTable: self._drop, N.Insert: self._insert, N.Update: self._update, N.Delete: self._delete}
@@ -109,6 +124,12 @@ class Engine:
 
         return plan_select(q, table, lambda n: state.get(n).pk, self.analytical)
 
+    def _shown_by(self, q: N.Select, df: DataFrame) -> tuple[str, ...]:
+        """The primary keys of a SELECT's tables, as far as the result has them."""
+        state, bare = self._state(), not self.analytical and len(q.tables) == 1
+        keys = [(t, state.get(t).pk) for t in q.tables]
+        return tuple(n for n in (k if bare else f"{t}.{k}" for t, k in keys) if n in df.columns)
+
     # commands
 
     def _switch(self) -> Result:
@@ -131,21 +152,31 @@ class Engine:
         return {n: self.catalog.read(t) for n, t in sorted(state.tables.items())}
 
     def _show(self) -> Result:
-        """All tables with size, columns and rows, as text: one row for each row of each table."""
-        frames = [df.select(F.lit(n).alias("table"), F.to_json(F.struct(*[df[f"`{c}`"] for c in df.columns])).alias("row")) for n, df in self.tables().items()]
-        out = self.spark.createDataFrame([], "table string, row string")
-        for f in frames:
-            out = out.unionByName(f)
-        return Result(df=out)
+        """(table, size, columns, row): for each table its rows as JSON in the order of its key, or one null if it has none."""
+        out, state = None, self._state()
+        for n, df in self.tables().items():
+            key = state.get(n).pk
+            number, text = F.lit(None), F.lit(None)
+            if key is not None and dict(df.dtypes)[key] == "string":
+                text = df[f"`{key}`"]
+            elif key is not None:
+                number = df[f"`{key}`"]
+            rows = df.select(F.to_json(F.struct(*[df[f"`{c}`"] for c in df.columns])).alias("row"), number.cast("bigint").alias("__number"), text.cast("string").alias("__text"))
+            size = df.agg(F.count(F.lit(1)).alias("size")).select(F.lit(n).alias("table"), "size", F.array(*[F.lit(c) for c in df.columns]).alias("columns"))
+            each = rows.crossJoin(F.broadcast(size)).unionByName(size.filter("size = 0"), allowMissingColumns=True)  # size: one row
+            out = each if out is None else out.unionByName(each)
+        if out is None:
+            return Result(df=self.spark.createDataFrame([], "table string, size bigint, columns array<string>, row string"))
+        return Result(df=out.orderBy("table", "__number", "__text").select("table", "size", "columns", "row"))
 
     def _schema(self) -> Result:
-        """table, size, column, position."""
+        """(table, size, column, position)."""
         out = self.spark.createDataFrame([], "table string, size bigint, column string, position int")
         for n, df in self.tables().items():
             sizes = df.agg(F.count(F.lit(1)).alias("size"))
             names = F.array(*[F.lit(c) for c in df.columns])
             out = out.unionByName(sizes.select(F.lit(n).alias("table"), "size", F.posexplode(names).alias("position", "column")).select("table", "size", "column", "position"))
-        return Result(df=out)
+        return Result(df=out, keys=("table", "position"))
 
     # definitions
 
@@ -168,7 +199,7 @@ class Engine:
             default = None if c.default is None else constant(c.default)
             if default is not None and isinstance(default, str) != (c.type == "STR"):
                 raise BindError("expression types don't match")
-            columns.append(Column(c.name, c.type, c.length, c.not_null, c.pk, c.references, default))
+            columns.append(Column(c.name, c.type, c.length, c.not_null, c.pk, c.references, stored(default, c.length)))
         auto = None
         if not any(c.pk for c in columns):
             if any(c.name == AUTO_PK for c in columns):
@@ -212,11 +243,13 @@ class Engine:
         state = self.catalog.state()
         t = self._own(state, s.table)
         given = {}
+        if len(set(s.columns)) < len(s.columns):
+            raise BindError("a column is named twice")
         for name, e in zip(s.columns, s.values, strict=True):
             c, value = t.column(name), constant(e)
             if isinstance(value, str) != (c.type == "STR"):
                 raise BindError("expression types don't match")
-            given[name] = value[: c.length] if isinstance(value, str) and c.length is not None else value
+            given[name] = stored(value, c.length)
         auto = t.auto_id
         for c in t.columns:
             if c.name == AUTO_PK and auto is not None:
@@ -238,17 +271,21 @@ class Engine:
 
     def _hit(self, t: Table, where: N.Expr | None) -> tuple[list[str], DataFrame, Scope]:
         """The segments that hold a matching row, and the rows of these segments."""
-        scope = Scope.of({t.name: self.catalog.read(t)}, bare=True)
-        match = None if where is None else condition(where, scope)
-        hit = []
-        for segment in t.segments:  # MOST_SEGMENTS at most
-            if match is None or not self.catalog.read_segment(t, segment).filter(match).isEmpty():
-                hit.append(segment)
+        rows = self.catalog.read(t)
+        scope = Scope.of({t.name: rows}, bare=True)
+        hit = list(t.segments)
+        if where is not None and hit:
+            match = condition(where, scope)
+            found = self.catalog.segments_of(rows.filter(match))
+            hit = [x for x in hit if x in found]
         return hit, self.catalog.read(replace(t, segments=tuple(hit))), scope
 
     def _update(self, s: N.Update) -> Result:
+        """The after-image is written once, with a mark on rows that differ; without any it is thrown away."""
         state = self.catalog.state()
         t = self._own(state, s.table)
+        if len({name for name, _ in s.sets}) < len(s.sets):
+            raise BindError("a column is named twice")
         hit, rows, scope = self._hit(t, s.where)
         sets = {}
         for name, e in s.sets:
@@ -263,20 +300,26 @@ class Engine:
         if hit:
             where = None if s.where is None else condition(s.where, scope)
             after = dml.update_rows(rows, where, sets, self._parent_keys(state, t, set(sets)))
-            n = after.filter("__changed").count()
-            if n:
-                self.catalog.commit(state, self.catalog.rewrite(t, hit, after))
+            segment = self.catalog.write(t, after, "__changed")
+            n = self.spark.read.parquet(f"{self.catalog.root}/{segment}").filter("__changed").count()
+            self._replace(state, t, hit, segment, n)
         return Result(f'update {n} rows in table "{s.table}"')
 
     def _delete(self, s: N.Delete) -> Result:
+        """What is left is written once; both counts come from the footers of files."""
         state = self.catalog.state()
         t = self._own(state, s.table)
         hit, rows, scope = self._hit(t, s.where)
         n = 0
         if hit:
             where = None if s.where is None else condition(s.where, scope)
-            left = dml.delete_rows(rows, where, t.pk, self._children(state, t))
-            n = rows.count() - left.count()
-            if n:
-                self.catalog.commit(state, self.catalog.rewrite(t, hit, left))
+            segment = self.catalog.write(t, dml.delete_rows(rows, where, t.pk, self._children(state, t)))
+            n = rows.count() - self.catalog.read(replace(t, segments=(segment,))).count()
+            self._replace(state, t, hit, segment, n)
         return Result(f"delete {n} rows")
+
+    def _replace(self, state: State, t: Table, hit: list[str], segment: str, n: int) -> None:
+        if n:
+            self.catalog.commit(state, replace(t, segments=(*(x for x in t.segments if x not in hit), segment)))
+        else:
+            self.catalog.remove(segment)

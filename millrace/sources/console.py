@@ -34,8 +34,10 @@ def run_console(engine, lines: TextIO = sys.stdin, out: TextIO = sys.stdout, *,
 
 
 def format_result(result, rows: int = 20) -> str:
+    """Rows without an order of their own come in the order of their keys."""
     if result.df is None:
         return result.message
-    shown = result.df.limit(rows).collect() if rows else []
+    shown = result.df.orderBy(*[f"`{k}`" for k in result.keys]) if result.keys else result.df
+    shown = shown.limit(rows).collect() if rows else []
     body = ["\t".join(map(str, r)) for r in shown]
     return "\n".join(["\t".join(result.df.columns), *body, f"output size = {result.df.count()}"])
