@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -166,20 +167,66 @@ def test_classifier_on_held_out_documents(spark, docs_of):
 # secrets
 
 
-def test_secrets_on_held_out_findings(spark):
+def single_feature_accuracy(train, test, f):
+    """Of the best threshold on one feature, taken from the training rows."""
+    best = max(((sum((r[f] > cut) == (r.label == up) for r in train), cut, up) for cut in sorted({r[f] for r in train}) for up in (0, 1)), key=lambda x: x[0])
+    return sum((r[f] > best[1]) == (r.label == best[2]) for r in test) / len(test)
+
+
+def test_forest_beats_each_feature_on_held_out_findings(spark):
+    known = [(1 << 26) - 1] * 26 * 26
+    planted = secret_forest.planted_findings(spark, known, 1400)
+    rows = planted.collect()
+    assert len(rows) == 1400 and {len(str(r.candidate)) >= 16 for r in rows} == {True}
+    fit, held = planted.filter("doc_id % 4 != 0"), planted.filter("doc_id % 4 = 0")
+    got = secret_forest.score_findings(held, secret_forest.train_forest(fit)).collect()
+    right = sum(r.is_secret == (r.label == 1) for r in got) / len(got)
+    train = [r for r in rows if r.doc_id % 4]
+    assert right >= 0.95 and right > max(single_feature_accuracy(train, got, f) for f in secret_forest.FEATURES) + 0.05
+    harmless = [r for r in got if r.label == 0 and r.hex == 1.0]
+    assert len(harmless) > 30 and sum(r.is_secret for r in harmless) <= 0.1 * len(harmless)
+    assert any(r.is_secret != (r.before_key == 1.0) for r in got)
+
+
+def test_candidates_and_features_against_python(spark):
+    texts = ["a b /x-y/zzzzzzzzzzzzzzzz=abcdefghijklmnop,abcdefghijklmnop! next  line", None, "", "short", "Q" * 40_000 + " end", "one abcdefghij1234567890", ",".join(["k" * 16] * 2500), "é=abcdefghijklmnopé"]
+    df = spark.createDataFrame([(i, t, None, 1, 2) for i, t in enumerate(texts)], "doc_id bigint, text string, source string, nth int, length int")
+    got = {(r.doc_id, r.nth): (r.candidate, r.lead, r.rest, r.before, r.after) for r in secret_forest.candidates(df).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        words, n = re.split(r"[\x20\x09-\x0D]+", t or ""), 0
+        at = lambda i: words[i] if 0 <= i < len(words) else ""  # noqa: B023, E731
+        for i, w in enumerate(words):
+            found, between = re.findall(secret_forest.CANDIDATE, w), re.split(secret_forest.CANDIDATE, w)
+            for j, c in enumerate(found):
+                want[d, n] = (c, between[j], between[j + 1], " ".join((at(i - 2), at(i - 1), between[j])), " ".join((between[j + 1], at(i + 1))))
+                n += 1
+    assert got == want and len(want) > 2500
+    grams = spark.createDataFrame([("abc",), ("bcd",), ("kkk",)], "gram string")
+    known = secret_forest.packed(grams)
+    rows = secret_forest.with_features(secret_forest.candidates(df), known).select("candidate", "coverage", "transitions", "different", "length").distinct().collect()
+    for r in rows:
+        c, low = r.candidate, r.candidate.lower()
+        kind = ["0" if x.isdigit() else "A" if x.isupper() else "a" if x.islower() else "-" for x in c]
+        assert r.length == len(c) and r.coverage == pytest.approx(sum(low[i : i + 3] in ("abc", "bcd", "kkk") for i in range(len(c) - 2)) / (len(c) - 2))
+        assert r.transitions == pytest.approx(sum(x != y for x, y in zip(kind, kind[1:], strict=False)) / (len(c) - 1)) and r.different == pytest.approx(len(set(c)) / min(len(c), 64))
+
+
+def test_secrets_of_a_corpus(spark):
     rng = random.Random(8)
     hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     rows, truth = [], {}
     for i in range(300):
-        kind = i % 4
-        c = ["AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), hexa(40), "".join(rng.choice("0123456789") for _ in range(16)), "".join(rng.choice(["ther", "ing", "tion", "and"]) for _ in range(6))][kind]
-        before = ["key is ", 'token = "', "call ", "the "][kind]
+        kind = i % 5
+        c = ["AKIA" + "".join(rng.choice("0123456789ABCDEF") for _ in range(16)), hexa(40), "".join(rng.choice("0123456789") for _ in range(16)), "".join(rng.choice(["ther", "ing", "tion", "and"]) for _ in range(6)), hexa(40)][kind]
+        before = ["key is ", 'token = "', "call ", "the ", "commit "][kind]
         rows.append((i, f"some ordinary words here thering {before}{c}{'"' if kind == 1 else ''} and more", "src/app.py"))
         truth[i] = kind < 2
     rows += [(1000, None, None), (1001, "", None), (1002, "no finding", None), (1003, rows[0][1], None), (1004, "p" * 100_000, "x")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, source string, length int")
-    got = secret_forest.scan_secrets(df, label=lambda f: secret_forest.label_by_format(f).filter("doc_id < 200"))
-    found = {r.doc_id: r.is_secret for r in got.collect()}
+    found = {r.doc_id: r.is_secret for r in secret_forest.scan_secrets(df).collect()}
     assert set(found) == {*truth, 1003, 1004}
-    assert sum(found[i] == truth[i] for i in range(200, 300)) >= 97
+    assert sum(found[i] == t for i, t in truth.items()) >= 285
     assert secret_forest.scan_secrets(df.limit(0)).count() == 0
+    own = secret_forest.scan_secrets(df, lambda f: f.filter("doc_id < 3").withColumn("label", F.lit(1))).collect()
+    assert {r.is_secret for r in own} == {True} and {r.p_secret for r in own} == {1.0}
