@@ -19,6 +19,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
+from .common import refuse_clash
+
 #: Entries of the caches of a worker; beyond that they are emptied, so memory stays bounded.
 PIECES_KEPT, PAIRS_KEPT, LONGEST_KEPT_PIECE = 250_000, 300_000, 64
 
@@ -179,6 +181,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
     Returns the id column, the columns in ``keep``, ``ids`` (packed little-endian 32-bit, if asked for),
     ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``.  ``path`` is a place on every worker.
     """
+    refuse_clash((id_col, *keep), ("ids", "n_tokens", "ids_sha256", "decoded_sha256"))
     cols = [id_col, *[c for c in keep if c not in (id_col, text_col)]]
     src = docs.select(*[docs[c] for c in cols], docs[text_col].alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name != "__text"]

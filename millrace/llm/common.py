@@ -26,10 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for written cuts: ``spark.checkpoint.dir``, or an own one where it is unset."""
+    """The shared folder for written cuts: ``spark.checkpoint.dir``, or in local mode, where it is unset, an own one.
+
+    On a cluster a folder of this machine would be another one on each executor, so there it has to be set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
@@ -65,3 +69,9 @@ def discard(df: DataFrame) -> None:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of the input can never clash with ours."""
     return df.select(*[df[n] for n in names])
+
+
+def refuse_clash(keep: tuple[str, ...], own: tuple[str, ...]) -> None:
+    """Columns to keep may not have the name of a result."""
+    if clash := sorted({c.lower() for c in keep} & {c.lower() for c in own}):
+        raise ValueError(f"columns to keep have names of results: {', '.join(clash)}")

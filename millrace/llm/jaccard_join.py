@@ -314,3 +314,21 @@ def keep_one_of_each(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id
     ordered = F.struct(*[docs[c] for c, t in docs.dtypes if "map<" not in t and "variant" not in t])
     again = docs.join(again, same(again), "left_semi").select(docs[id_col].alias("__id"), *[c.alias(k) for k, c in keys.items()], F.struct(*[docs[c] for c in docs.columns]).alias("__row"), ordered.alias("__order"))
     return kept.unionByName(again.groupBy("__id", *keys).agg(F.min_by("__row", "__order").alias("__row")).select("__row.*"))
+
+
+def oracle(shingle: int = 4, percent: int = 85) -> str:
+    """``similarity_components`` in DuckDB's SQL, over ``documents``."""
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT r, doc_id, list_sort(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {shingle} THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - {shingle - 2}), lambda i: array_to_string(ws[i:i + {shingle - 1}], ' '))) END) AS sh FROM w),
+e AS (SELECT r, len(sh) AS n, unnest(sh) AS t FROM s),
+l AS (SELECT x.r AS a, y.r AS b FROM e x JOIN e y ON x.t = y.t AND x.r <> y.r AND 100 * x.n >= {percent} * y.n AND 100 * y.n >= {percent} * x.n
+      GROUP BY x.r, y.r HAVING 100 * count(*) >= {percent} * (min(x.n) + min(y.n) - count(*))),
+c AS (SELECT r AS a, r AS b FROM s UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.component_id,
+       CASE WHEN len(sh) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY sh) END AS n_class
+FROM s JOIN (SELECT c.a, min(s.doc_id) AS component_id FROM c JOIN s ON s.r = c.b GROUP BY c.a) m ON m.a = s.r
+"""

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import refuse_clash
 from .words import chunks, texts_of
 
 BITS = 20
@@ -163,6 +164,7 @@ def train(docs: DataFrame, ratings: DataFrame, *, max_rows: int = 20_000, id_col
 
 def score_documents(docs: DataFrame, model: OrdinalModel | None, *, least_probability: float = 0.6, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns in ``keep``, then expected_grade, p_top (of the top grade) and selected; no shuffle."""
+    refuse_clash(keep, ("expected_grade", "p_top", "selected"))
     src = docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text"))
     if model is None:
         return src.drop("__text").select("*", F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("p_top"), F.lit(True).alias("selected"))

@@ -79,6 +79,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_ngram_jaccard_join": jaccard_join.oracle(),
+    "op5_substring_dedup": substring_dedup.oracle(),
     "op6_line_dedup": line_boilerplate.oracle(),
     "op10_chat_formatting": reply_trees.oracle(),
 }

@@ -315,3 +315,17 @@ def remove_repeats(docs: DataFrame, *, length: int = 35, shard: int = SHARD, kee
     found = materialize(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "spans")).alias("spans")), "found")
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name != "__text")
     return _cut(keyed.join(found, ["k1", "k2"], "left"), list(keep), own)
+
+
+def oracle(length: int = 35) -> str:
+    """``remove_repeats`` without the texts, in DuckDB's SQL, over ``documents``."""
+    return f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+win AS (SELECT r, i, array_to_string(ws[i:i + {length - 1}], ' ') AS t FROM (SELECT r, ws, unnest(range(1, len(ws) - {length - 2})) AS i FROM w)),
+hit AS (SELECT r, i FROM win WHERE t IN (SELECT t FROM win GROUP BY t HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, i + k AS j FROM hit, range({length}) x(k)),
+word AS (SELECT r, unnest(ws) AS v, unnest(range(1, len(ws) + 1)) AS j FROM w),
+kept AS (SELECT word.r, string_agg(v, ' ' ORDER BY word.j) AS t, count(*) AS n FROM word ANTI JOIN gone ON gone.r = word.r AND gone.j = word.j GROUP BY word.r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.r = w.r
+"""

@@ -7,7 +7,10 @@ the common prefix of neighbouring suffixes by binary descent.  The intervals of
 the maximal repeats; the words that they cover and the longest of them decide.
 
 Defined results: a null text has no words and fails the base rules; so does an empty one.  Repeated rows
-are judged one by one; an empty table gives an empty result; further columns are ignored or kept by name.
+are judged one by one; an empty table gives an empty result; further columns are ignored or kept by name, and
+refused if they have the name of a result.  Very long texts are judged whole: a worker holds about 50 bytes for
+each word of a block, and 4 more for each doubling of the longest repeat (300 MB for a text of 2 million words
+that is one word again and again).
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from .common import refuse_clash
 from .words import chunks, texts_of
 
 BLOCK_WORDS = 1 << 18
@@ -66,7 +70,8 @@ def longest_repeats(codes, starts):
     sizes = np.diff(np.append(first, n))
     slots = np.flatnonzero(np.repeat(sizes > 1, sizes))  # places in the order that are still tied
     tied = len(slots)
-    levels, h = [rank.copy()], 1
+    small = np.int32 if n < 1 << 31 else np.int64
+    levels, h = [rank.astype(small)], 1
     while tied:
         at = order[slots]
         nxt = at + h
@@ -81,7 +86,7 @@ def longest_repeats(codes, starts):
         rank[at] = np.repeat(slots[first], sizes)
         slots = slots[np.repeat(sizes > 1, sizes)]
         tied = len(slots)
-        levels.append(rank.copy())
+        levels.append(rank.astype(small))
         h *= 2
     # common prefixes of neighbours that share their first word
     a, b = order[:-1], order[1:]
@@ -182,6 +187,8 @@ def measure_repetition(docs: DataFrame, rules: RepetitionRules = RepetitionRules
 
     With ``only_kept``, rows that the rules reject are left out and only the columns in ``keep`` returned.
     """
+    if not only_kept:
+        refuse_clash(keep, tuple(m.split()[0] for m in MEASURES.split(", ")))
     src = docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text"))
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name != "__text")
 
