@@ -42,7 +42,7 @@ SKETCH_BITS = 22
 SLICE = 1 << 14
 #: Least bits of a sketch of parities; larger sets have as many as shingles, to the next power of two.
 PARITY_BITS = 1024
-#: Classes whose ids are sent to all executors to fetch their texts; more of them are joined by a shuffle.
+#: Ids that are sent to all executors to fetch or drop their texts (some 40 bytes each); more are joined by a shuffle.
 MOST_SENT = 1 << 19
 #: Bytes of text whose words a worker holds at once, if it's more than one text.
 BLOCK = 1 << 21
@@ -165,11 +165,14 @@ def _signatures(docs: DataFrame, levels: bytes, k: int, percent: int, id_col: st
     return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, hash bigint, n int, core int, cls binary, grp binary, odd array<bigint>, toks array<bigint>" + "".join(f", {c} bigint" for c in keep))
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """Narrow rows that are joined with texts, broadcast if they are few enough."""
+    return F.broadcast(rows) if rows.count() <= MOST_SENT else rows
+
+
 def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """(cid, n, toks) with all shingles, for classes (cid, doc, hash, cls)."""
-    ask = wanted.select("cid", F.col("doc").alias("__id"), F.col("hash").alias("__asked"), "cls")
-    if ask.count() <= MOST_SENT:
-        ask = F.broadcast(ask)
+    ask = _sent(wanted.select("cid", F.col("doc").alias("__id"), F.col("hash").alias("__asked"), "cls"))
     src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("__text"), F.xxhash64(docs[text_col]).alias("__hash"))
     src = src.join(ask, src["doc_id"].eqNullSafe(ask["__id"]) & (F.col("__hash") == F.col("__asked"))).select("cid", "cls", "__text")
 
@@ -305,7 +308,7 @@ def keep_one_of_each(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id
     both = placed.join(materialize(first, "first"), "root")
     # the rows that go; where several have the id and text of the one that stays, all go and one comes back
     gone = both.groupBy("own").agg(F.max(F.col("own") == F.col("first")).alias("stays"), F.count(F.lit(1)).alias("n")).filter("n > 1 OR NOT stays")
-    gone = materialize(gone.select("own.__id", *[F.col(f"own.{k}") for k in keys], "stays"), "gone")
+    gone = _sent(materialize(gone.select("own.__id", *[F.col(f"own.{k}") for k in keys], "stays"), "gone"))
     same = lambda d: docs[id_col].eqNullSafe(d["__id"]) & (keys["__a"] == d["__a"]) & (keys["__b"] == d["__b"])
     kept = docs.join(gone, same(gone), "left_anti")
     again = gone.filter("stays")
