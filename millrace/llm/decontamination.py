@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .words import chunks, texts_of
+from .words import chunks, forget, texts_of
 
 #: Bytes of text that are queried at once, about; bounds a worker's memory.
 BLOCK_BYTES = 1 << 22
@@ -239,7 +239,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
         def run(batches: Iterator, sent=sent) -> Iterator:
             import pyarrow as pa
 
-            for batch in batches:
+            forget("byte_bpe")
+        for batch in batches:
                 for part in chunks(batch, most=BLOCK_BYTES):
                     got = sent.value.hits(texts_of(part))
                     t, item, score, q, a = zip(*got, strict=True) if got else [()] * 5

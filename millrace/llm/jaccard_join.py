@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, pick
 from .components import connected_components
-from .words import chunks, hash_words, roll, texts_of
+from .words import chunks, forget, hash_words, roll, texts_of
 
 #: Counters of the sketch, as a power of two: one byte each goes to every worker, whatever the size of the corpus.
 SKETCH_BITS = 22
@@ -115,6 +115,7 @@ def shingle_levels(docs: DataFrame, k: int, bits: int = SKETCH_BITS, text_col: s
         import pyarrow as pa
 
         total = np.zeros(width, np.uint32)
+        forget("byte_bpe")
         for batch in batches:
             for part in chunks(batch, most=BLOCK):
                 np.add.at(total, np.concatenate(shingle_sets(texts_of(part), k)) & (width - 1), np.uint32(1))
@@ -152,6 +153,7 @@ def _signatures(docs: DataFrame, levels: bytes, k: int, percent: int, id_col: st
         import pyarrow as pa
 
         level = np.frombuffer(zlib.decompress(levels), np.uint8)
+        forget("byte_bpe")
         for batch in batches:
             for part in chunks(batch, most=BLOCK):
                 sets = shingle_sets(texts_of(part), k)
@@ -179,6 +181,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_co
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        forget("byte_bpe")
         for batch in batches:
             for part in chunks(batch, most=BLOCK):
                 sets = shingle_sets(texts_of(part), k)

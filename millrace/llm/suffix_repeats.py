@@ -21,9 +21,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from .common import refuse_clash
-from .words import chunks, texts_of
+from .words import chunks, forget, texts_of
 
-BLOCK_WORDS = 1 << 18
+BLOCK_WORDS, BLOCK_BYTES = 1 << 18, 1 << 21
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -196,7 +196,8 @@ def measure_repetition(docs: DataFrame, rules: RepetitionRules = RepetitionRules
         import numpy as np
         import pyarrow as pa
 
-        for chunk in (c for batch in batches for c in chunks(batch)):
+        forget("byte_bpe")
+        for chunk in (c for batch in batches for c in chunks(batch, most=BLOCK_BYTES)):
             at = 0
             for texts, words in _blocks(texts_of(chunk)):
                 got = _measure(texts, words, rules)

@@ -5,6 +5,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 
+def forget(*modules: str) -> None:
+    """Gives back what earlier stages have left in this worker, which Spark uses again: encoders and indexes that the
+    named modules of this package hold for the process, and memory that was freed but not returned."""
+    import ctypes
+    import gc
+    import sys
+
+    import pyarrow as pa
+
+    for name in modules:
+        if (module := sys.modules.get(f"{__package__}.{name}")) is not None:
+            module._loaded.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def hash_words(words: list[list[bytes]]):
     """A 64-bit hash of each word, all texts in a row, and the first position of each text (then the end)."""
     import numpy as np
