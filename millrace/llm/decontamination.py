@@ -240,7 +240,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
             import pyarrow as pa
 
             forget("byte_bpe")
-        for batch in batches:
+            for batch in batches:
                 for part in chunks(batch, most=BLOCK_BYTES):
                     got = sent.value.hits(texts_of(part))
                     t, item, score, q, a = zip(*got, strict=True) if got else [()] * 5
@@ -259,6 +259,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
         def run(batches: Iterator, sent=sent) -> Iterator:
             import pyarrow as pa
 
+            forget("byte_bpe")
             for batch in batches:
                 for part in chunks(batch, text_col, BLOCK_BYTES):
                     bad = {t for t, _, _, q, a in sent.value.hits(texts_of(part, text_col)) if q >= rules.overlap and a >= rules.overlap}
