@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from .common import refuse_clash
+from .common import map_arrow, refuse_clash
 
 #: Entries of the caches of a worker; beyond that they are emptied, so memory stays bounded.
 PIECES_KEPT, PAIRS_KEPT, LONGEST_KEPT_PIECE = 250_000, 300_000, 64
@@ -208,4 +208,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
             arrays += [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(map(sha, packed), pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*cols, *([text_col] if with_text else []), *(["ids"] if ids else []), "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)

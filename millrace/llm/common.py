@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -17,6 +18,11 @@ from pyspark.sql import types as T
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` follows the same rule.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of a batch that is sent to a worker (or one row), unless the session sets its own limit.  Spark's default of
+#: 64 MB is held by the JVM, by its buffers and by the worker at once, for each task.
+BATCH_BYTES = 1 << 22
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -40,6 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """``mapInArrow`` by batches of ``BATCH_BYTES``; this sets the session's limit if it has none."""
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

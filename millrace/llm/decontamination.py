@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 from .words import chunks, forget, texts_of
 
 #: Bytes of text that are queried at once, about; bounds a worker's memory.
@@ -210,7 +210,7 @@ def _indexes(items: DataFrame, rules: LeakRules, shard_bytes: int, id_col: str,
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array([[w.decode() for w in normal_words((t.as_py() or "").encode())] for t in batch.column("text")], pa.list_(pa.string()))], names=["id", "text", "words"])
 
     src = items.select(items[id_col].alias("id"), items[text_col].alias("text"))
-    src = src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, text string, words array<string>").filter(F.size("words") > 0)
+    src = map_arrow(src, run, f"id {dict(src.dtypes)['id']}, text string, words array<string>").filter(F.size("words") > 0)
     src = materialize(src, "items")
     n, total, size, longest = src.agg(F.count(F.lit(1)), F.sum(F.size("words")), F.sum(F.octet_length("text")), F.max(F.size("words"))).first()
     if not n:
@@ -247,7 +247,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
                     leaked = [x >= rules.overlap and y >= rules.overlap for x, y in zip(q, a, strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(t, pa.int64())), pa.array(item, *([pa.int64()] if item_type == "bigint" else [])), pa.array(score, pa.float64()), pa.array(q, pa.float64()), pa.array(a, pa.float64()), pa.array(leaked, pa.bool_())], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "leaked"])
 
-        out = out.unionByName(src.mapInArrow(run, schema))
+        out = out.unionByName(map_arrow(src, run, schema))
     return out
 
 
@@ -265,5 +265,5 @@ def drop_leaks(docs: DataFrame, items: DataFrame, rules: LeakRules = LeakRules()
                     bad = {t for t, _, _, q, a in sent.value.hits(texts_of(part, text_col)) if q >= rules.overlap and a >= rules.overlap}
                     yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import map_arrow, materialize, pick
 from .components import connected_components
 from .words import chunks, forget, hash_words, roll, texts_of
 
@@ -133,9 +133,9 @@ def shingle_levels(docs: DataFrame, k: int, bits: int = SKETCH_BITS, text_col: s
                 total[i] = total[i] + got if i in total else got
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["slice", "counts"])
 
-    partial = docs.select(docs[text_col].alias("__text")).mapInArrow(count, "slice int, counts binary")
+    partial = map_arrow(docs.select(docs[text_col].alias("__text")), count, "slice int, counts binary")
     counts = np.zeros((width // each, each), np.uint64)
-    for i, x in partial.repartition("slice").mapInArrow(add, "slice int, counts binary").collect():  # at most width numbers
+    for i, x in map_arrow(partial.repartition("slice"), add, "slice int, counts binary").collect():  # at most width numbers
         counts[i] = np.frombuffer(zlib.decompress(x), np.uint64)
     counts = counts.ravel().astype(np.float64)
     usual = counts.mean()
@@ -164,7 +164,7 @@ def _signatures(docs: DataFrame, levels: bytes, k: int, percent: int, id_col: st
                 sizes = [pa.array([len(s) for s in sets], pa.int32()), pa.array(core, pa.int32())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("__hash"), *sizes, *digests, _lists([_parities(s) for s in sets]), _lists(prefix), *map(part.column, keep)], names=["doc_id", "hash", "n", "core", "cls", "grp", "odd", "toks", *keep])
 
-    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, hash bigint, n int, core int, cls binary, grp binary, odd array<bigint>, toks array<bigint>" + "".join(f", {c} bigint" for c in keep))
+    return map_arrow(src, run, f"doc_id {dict(src.dtypes)['doc_id']}, hash bigint, n int, core int, cls binary, grp binary, odd array<bigint>, toks array<bigint>" + "".join(f", {c} bigint" for c in keep))
 
 
 def _sent(rows: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_co
                 sets = [sets[i] for i in ok]
                 yield pa.RecordBatch.from_arrays([part.column("cid").take(pa.array(ok, pa.int64())), pa.array([len(s) for s in sets], pa.int32()), _lists(sets)], names=["cid", "n", "toks"])
 
-    return src.mapInArrow(run, "cid bigint, n int, toks array<bigint>")
+    return map_arrow(src, run, "cid bigint, n int, toks array<bigint>")
 
 
 class _Join:

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import refuse_clash
+from .common import map_arrow, refuse_clash
 from .words import chunks, texts_of
 
 BITS = 20
@@ -145,7 +145,7 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, *, max_rows: int, id_col:
             for part in chunks(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), pa.array([features(t, bits) for t in texts_of(part)], pa.list_(pa.int32()))], names=["doc_id", "grade", "feats"])
 
-    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, grade int, feats array<int>")
+    return map_arrow(src, run, f"doc_id {dict(src.dtypes)['doc_id']}, grade int, feats array<int>")
 
 
 def train(docs: DataFrame, ratings: DataFrame, *, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", bits: int = BITS) -> OrdinalModel | None:
@@ -181,7 +181,7 @@ def score_documents(docs: DataFrame, model: OrdinalModel | None, *, least_probab
                 p = model.probabilities([float(model.weights[features(t, model.bits)].sum()) for t in texts_of(part)])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(p.sum(1)), pa.array(p[:, -1]), pa.array(np.asarray(p[:, -1] >= least_probability))], names=[*keep, "expected_grade", "p_top", "selected"])
 
-    return src.mapInArrow(run, f"{own}, expected_grade double, p_top double, selected boolean")
+    return map_arrow(src, run, f"{own}, expected_grade double, p_top double, selected boolean")
 
 
 def grades_from_labels(labels: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 from .words import chunks, hash_words, mix, roll, texts_of
 
 #: Words of the n-grams that windows are anchored by, and most different passages of a shard's automaton.
@@ -183,7 +183,7 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                 key = pa.array(text)
                 yield pa.RecordBatch.from_arrays([part.column("k1").take(key), part.column("k2").take(key), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(v, pa.int64()), pa.array(twice, pa.int32())], names=["k1", "k2", "at", "size", "v", "c"])
 
-    return docs.select("k1", "k2", "__text").mapInArrow(run, "k1 bigint, k2 bigint, at int, size int, v bigint, c int")
+    return map_arrow(docs.select("k1", "k2", "__text"), run, "k1 bigint, k2 bigint, at int, size int, v bigint, c int")
 
 
 def _passages(asked: DataFrame, length: int) -> DataFrame:
@@ -219,7 +219,7 @@ def _passages(asked: DataFrame, length: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return asked.mapInArrow(run, "k1 bigint, k2 bigint, at int, v bigint, times bigint, passage string")
+    return map_arrow(asked, run, "k1 bigint, k2 bigint, at int, v bigint, times bigint, passage string")
 
 
 def _by_automata(refs: DataFrame, length: int) -> DataFrame:
@@ -254,7 +254,7 @@ def _by_automata(refs: DataFrame, length: int) -> DataFrame:
             done += solved(held)
         yield from flush(done)
 
-    return refs.select("v", "h1", "h2", "passage", "times").mapInArrow(run, "v bigint, h1 bigint, h2 bigint, spans array<int>")
+    return map_arrow(refs.select("v", "h1", "h2", "passage", "times"), run, "v bigint, h1 bigint, h2 bigint, spans array<int>")
 
 
 def _by_windows(refs: DataFrame, length: int) -> DataFrame:
@@ -290,7 +290,7 @@ def _cut(docs: DataFrame, keep: list[str], schema: str) -> DataFrame:
                 left.append(kept.decode())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(left, pa.string())], names=[*keep, "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return docs.select(*keep, "__text", "spans").mapInArrow(run, f"{schema}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    return map_arrow(docs.select(*keep, "__text", "spans"), run, f"{schema}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 35, shard: int = SHARD, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from .common import refuse_clash
+from .common import map_arrow, refuse_clash
 from .words import chunks, forget, texts_of
 
 BLOCK_WORDS, BLOCK_BYTES = 1 << 18, 1 << 21
@@ -209,4 +209,4 @@ def measure_repetition(docs: DataFrame, rules: RepetitionRules = RepetitionRules
                 else:
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(np.asarray(v)) for v in got.values())], names=[*keep, *got])
 
-    return src.mapInArrow(run, own if only_kept else f"{own}, {MEASURES}")
+    return map_arrow(src, run, own if only_kept else f"{own}, {MEASURES}")
