@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize
 from .words import chunks, forget, texts_of
 
-#: Bytes of text that are queried at once, about; bounds a worker's memory.
-BLOCK_BYTES = 1 << 22
+#: Bytes of text that are queried at once, about; bounds a worker's memory (some 80 bytes for each, with 200 items).
+BLOCK_BYTES = 1 << 19
 #: ASCII that isn't a letter or digit separates words; other characters belong to words.
 _SEPARATORS = bytes(c if c >= 128 or chr(c).isalnum() else 0x20 for c in range(256))
 
