@@ -20,9 +20,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 
 from .common import map_arrow, refuse_clash
+from .words import chunks, forget
 
 #: Entries of the caches of a worker; beyond that they are emptied, so memory stays bounded.
 PIECES_KEPT, PAIRS_KEPT, LONGEST_KEPT_PIECE = 250_000, 300_000, 64
+#: Bytes of text whose ids are made at once, about.
+BLOCK_BYTES = 1 << 19
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -194,8 +197,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, id_col: str =
         import pyarrow as pa
 
         bpe = loaded(path, pattern)
+        forget()
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, most=BLOCK_BYTES)):
             packed, decoded = [], []
             for text in batch.column("__text"):
                 packed.append(p := bpe.encode(text.as_py() or ""))
