@@ -1,9 +1,9 @@
 r"""Chat formatting over reply trees, with DataFrame functions only.
 
 Each message names its parent.  Root-to-leaf paths are enumerated by iterative self-joins that double the
-distance climbed in each round, so a path of n messages takes log2(n) rounds and the rows of a round never
-exceed the messages of the paths.  Branches of a conversation are ranked by score, and each chosen path is
-formatted as one conversation.
+distance climbed in each round, so a path of n messages takes log2(n) rounds.  A first climb carries sums of
+scores only, one row for each message; by these leaves are ranked.  Then the chosen paths alone are enumerated,
+their texts joined, and each is formatted as one conversation, which is one row and has to fit a task.
 
 Template of a turn: ``### role\n``, the text, ``</turn>\n``.  In roles and texts each backslash is doubled
 and the control strings get one: ``</turn>`` becomes ``<\/turn>``, ``### `` becomes ``\### ``, a line end in
@@ -47,46 +47,58 @@ def _same(a: str, b: str, node: str) -> Column:
     return F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id")) & (F.col(f"{a}.{node}") == F.col(f"{b}.node"))
 
 
-def root_to_leaf_paths(nodes: DataFrame) -> DataFrame:
-    """(conv_id, leaf, node, up): each message on the path of each leaf, ``up`` steps above the leaf."""
-    links = nodes.select("conv_id", "node", "parent")
-    ids = links.select("conv_id", "node")
-    jump = links.filter(F.col("parent").isNotNull()).alias("a").join(ids.alias("b"), _same("a", "b", "parent"), "left_semi").select("a.conv_id", "a.node", F.col("a.parent").alias("to"))
-    jump = materialize(jump, "jump")
-    parents = jump.select("conv_id", F.col("to").alias("node")).distinct()
-    leaves = ids.alias("a").join(parents.alias("b"), _same("a", "b", "node"), "left_anti")
-    roots = ids.alias("a").join(jump.alias("b"), _same("a", "b", "node"), "left_anti")
-    reach = leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+def climb(nodes: DataFrame) -> list[DataFrame]:
+    """Tables of (conv_id, node, to, total, scored), one row for each message, for 1, 2, 4, ... steps up: ``to`` is the
+    ancestor that many steps up (null: the path ends below it), ``total`` and ``scored`` the sum and number of the scores
+    that are passed on the way, the message's own included.  Only messages on or below a cycle never come to null."""
+    ids = nodes.select("conv_id", "node")
+    has = nodes.alias("a").join(ids.alias("b"), _same("a", "b", "parent"), "left_semi").select("conv_id", "node", F.col("parent").alias("to"), "score")
+    root = nodes.alias("a").join(has.alias("b"), _same("a", "b", "node"), "left_anti").select("conv_id", "node", F.lit(None).cast("long").alias("to"), "score")
+    own = F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"), F.col("score").isNotNull().cast("long").alias("scored")
+    levels = [materialize(has.unionByName(root).select("conv_id", "node", "to", *own), "climb")]
     most = nodes.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    step = 1
-    while step < most:
-        further = reach.alias("r").join(jump.alias("b"), _same("r", "b", "node")).select("r.conv_id", "r.leaf", F.col("b.to").alias("node"), (F.col("r.up") + step).alias("up"))
-        reach = materialize(reach.unionByName(further), "reach")
-        jump = materialize(jump.alias("a").join(jump.alias("b"), _same("a", "b", "to")).select("a.conv_id", "a.node", "b.to"), "jump")
-        step *= 2
-        if jump.isEmpty():
-            break
-    whole = reach.alias("r").join(roots.alias("b"), _same("r", "b", "node"), "left_semi").select("conv_id", "leaf").distinct()
-    return reach.alias("r").join(whole.alias("w"), F.col("r.conv_id").eqNullSafe(F.col("w.conv_id")) & (F.col("r.leaf") == F.col("w.leaf")), "left_semi")
+    while 1 << (len(levels) - 1) < most and not levels[-1].filter(F.col("to").isNotNull()).isEmpty():
+        at = levels[-1]
+        further = at.filter(F.col("to").isNotNull()).alias("a").join(at.alias("b"), _same("a", "b", "to"))
+        further = further.select("a.conv_id", "a.node", "b.to", (F.col("a.total") + F.col("b.total")).alias("total"), (F.col("a.scored") + F.col("b.scored")).alias("scored"))
+        levels.append(materialize(further.unionByName(at.filter(F.col("to").isNull())), "climb"))
+    return levels
+
+
+def chosen_paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
+    """(conv_id, leaf, path_rank, path_score, node, up): each message on the ``branches`` best paths of a conversation (None:
+    on all), ``up`` steps above its leaf.  Leaves are ranked before paths are enumerated, so other paths make no rows."""
+    levels = climb(nodes)
+    parents = levels[0].filter(F.col("to").isNotNull()).select("conv_id", F.col("to").alias("node")).distinct()
+    leaves = levels[-1].filter(F.col("to").isNull()).alias("a").join(parents.alias("b"), _same("a", "b", "node"), "left_anti")
+    leaves = leaves.select("conv_id", F.col("node").alias("leaf"), F.when(F.col("scored") > 0, F.col("total") / F.col("scored")).alias("path_score"))
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("path_score").desc_nulls_last(), "leaf"))
+    best = leaves.withColumn("path_rank", rank)
+    if branches is not None:
+        best = best.filter(F.col("path_rank") <= branches)
+    reach = materialize(best.select("conv_id", "leaf", "path_rank", "path_score", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up")), "reach")
+    for k, level in enumerate(levels[:-1]):  # on the last one all paths of these leaves have ended
+        step = level.filter(F.col("to").isNotNull()).alias("b")
+        further = reach.alias("r").join(step, _same("r", "b", "node"))
+        reach = materialize(reach.unionByName(further.select("r.conv_id", "r.leaf", "r.path_rank", "r.path_score", F.col("b.to").alias("node"), (F.col("r.up") + (1 << k)).alias("up"))), "reach")
+    return reach
 
 
 def format_reply_trees(nodes: DataFrame, *, branches: int = 1, trained: str = "assistant") -> DataFrame:
     """nodes: conv_id, node, parent, role, text, score.  One row for each chosen path:
     conv_id, leaf, path_rank, path_score (mean), formatted, loss_mask (array of start, length)."""
     nodes = materialize(nodes, "messages")
-    paths = root_to_leaf_paths(nodes)
-    on = paths.alias("p").join(nodes.alias("n"), _same("p", "n", "node")).select("p.conv_id", "p.leaf", "p.up", "n.role", "n.text", "n.score")
+    paths = chosen_paths(nodes.select("conv_id", "node", "parent", "score"), branches)
+    on = paths.alias("p").join(nodes.alias("n"), _same("p", "n", "node")).select("p.conv_id", "p.leaf", "p.path_rank", "p.path_score", "p.up", "n.role", "n.text")
     head = F.concat(F.lit("### "), F.replace(escape(F.coalesce(F.col("role"), F.lit(""))), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
-    on = on.select("conv_id", "leaf", "up", "score", (F.col("role") == trained).alias("__on"), head.alias("__head"), escape(F.coalesce(F.col("text"), F.lit(""))).alias("__body"))
+    on = on.select("conv_id", "leaf", "path_rank", "path_score", "up", (F.col("role") == trained).alias("__on"), head.alias("__head"), escape(F.coalesce(F.col("text"), F.lit(""))).alias("__body"))
     on = on.withColumn("__turn", F.concat("__head", "__body", F.lit(END)))
     before = F.sum(F.length("__turn")).over(Window.partitionBy("conv_id", "leaf").orderBy(F.col("up").desc()).rowsBetween(Window.unboundedPreceding, -1))
     span = F.struct((F.coalesce(before, F.lit(0)) + F.length("__head")).cast("long").alias("start"), F.length("__body").cast("long").alias("length"))
     on = on.withColumn("__span", F.when(F.col("__on"), span))
     turns = F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), F.col("__turn").alias("turn"), F.col("__span").alias("span"))))
-    whole = on.groupBy("conv_id", "leaf").agg(F.avg("score").alias("path_score"), turns.alias("__turns"))
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("path_score").desc_nulls_last(), "leaf"))
-    ranked = whole.withColumn("path_rank", rank).filter(F.col("path_rank") <= branches)
-    return ranked.select(
+    whole = on.groupBy("conv_id", "leaf").agg(F.first("path_rank").alias("path_rank"), F.first("path_score").alias("path_score"), turns.alias("__turns"))
+    return whole.select(
         "conv_id", "leaf", "path_rank", "path_score",
         F.array_join(F.transform("__turns", lambda x: x["turn"]), "").alias("formatted"),
         F.filter(F.transform("__turns", lambda x: x["span"]), lambda x: x.isNotNull()).alias("loss_mask"),

@@ -315,3 +315,13 @@ def test_branches(spark):
         for k, (_, leaf, path) in enumerate(sorted(paths)[:2], 1):
             want[c, k] = (leaf, [("user", own[n][4]) for n in path])
     assert {k: (r.leaf, [tuple(t) for t in r.turns]) for k, r in got.items()} == want
+
+
+def test_only_chosen_paths_make_rows(spark):
+    rows = [(1, n, n - 1 if n else None, None if n % 3 else 1.0) for n in range(300)] + [(1, 300 + n, n, -1.0) for n in range(300)] + [(None, 7, None, None), (None, 8, 8, 1.0)]
+    df = spark.createDataFrame(rows, "conv_id bigint, node bigint, parent bigint, score double")
+    assert reply_trees.chosen_paths(df).filter("conv_id = 1").count() == sum(range(2, 302))  # node 299 has a reply, so each leaf is a reply
+    best = reply_trees.chosen_paths(df, 1).orderBy("conv_id", "up").collect()
+    assert [(r.conv_id, r.leaf, r.path_score, r.node, r.up) for r in best[:1]] == [(None, 7, None, 7, 0)]
+    assert [r.node for r in best[1:]] == [597, *range(297, -1, -1)]  # 100 scores of 1 and the reply's; of equal means the least leaf
+    assert all(r.path_score == 99 / 101 for r in best[1:])
