@@ -18,8 +18,11 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from operator import eq
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +32,11 @@ from .words import chunks, texts_of
 
 BITS = 20
 _EDGES = b"".join(bytes([c]) for c in range(128) if not chr(c).isalnum())
-_SHAPES = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"(.)\1+", re.S), rb"\1\1")]
+#: Capital letters stand for A, small ones and bytes beyond ASCII for a, digits for 0.
+_KINDS = bytes(65 if chr(c).isupper() else 97 if c >= 128 or chr(c).islower() else 48 if chr(c).isdigit() else c for c in range(128)) + b"a" * 128
+_RUNS = re.compile(rb"([Aa0])\1+|(.)\2+", re.S)
+#: Words whose feature numbers a worker keeps; beyond that it forgets all, so memory stays bounded.
+WORDS_KEPT = 400_000
 
 
 def _hash(kind: bytes, what: bytes, bits: int) -> int:
@@ -38,14 +45,39 @@ def _hash(kind: bytes, what: bytes, bits: int) -> int:
     return xxhash.xxh3_64_intdigest(kind + what) >> (64 - bits)
 
 
-@functools.lru_cache(400_000)
-def _word(raw: bytes, bits: int) -> tuple[tuple[int, ...], bytes]:
-    shape = raw
-    for pattern, to in _SHAPES:
-        shape = pattern.sub(to, shape)
-    plain = raw.strip(_EDGES).decode().lower()
-    parts = [(b"w", plain), (b"4", plain[:4]), (b"5", plain[:5])] if len(plain) > 5 else [(b"w", plain)] if plain else []
-    return tuple(_hash(kind, x.encode(), bits) for kind, x in parts), shape[:8]
+@functools.lru_cache(50_000)
+def _shape(kinds: bytes) -> bytes:
+    """Runs of letters or of digits as one of them, runs of another character as two, 8 characters at most."""
+    return _RUNS.sub(lambda m: m[1] or m[2] * 2, kinds)[:8]
+
+
+class _Words(dict):
+    """Feature numbers and shape by word, computed on first use."""
+
+    def __init__(self, bits: int):
+        super().__init__()
+        self.bits = bits
+
+    def __missing__(self, raw: bytes) -> tuple[tuple[int, ...], bytes]:
+        plain = raw.strip(_EDGES)
+        if plain.isascii():
+            plain = plain.lower()
+            starts = (plain[:4], plain[:5]) if len(plain) > 5 else ()
+        else:
+            word = plain.decode().lower()
+            plain, starts = word.encode(), (word[:4].encode(), word[:5].encode()) if len(word) > 5 else ()
+        own = (_hash(b"w", plain, self.bits),) if plain else ()
+        if starts:
+            own += _hash(b"4", starts[0], self.bits), _hash(b"5", starts[1], self.bits)
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        got = self[raw] = own, _shape(raw.translate(_KINDS))
+        return got
+
+
+@functools.cache
+def _words(bits: int) -> _Words:
+    return _Words(bits)
 
 
 def _step(part: int, whole: int) -> bytes:
@@ -61,19 +93,16 @@ def features(text: bytes, bits: int = BITS):
     n = len(words)
     if not n:
         return np.array([_hash(b"e", b"", bits)], np.int32)
-    counts: dict[bytes, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    out: set[int] = set()
+    counts = Counter(words)
+    known = list(map(_words(bits).__getitem__, counts))
+    out = set(chain.from_iterable([own for own, _ in known]))
     shapes: dict[bytes, int] = {}
-    for w, c in counts.items():
-        own, shape = _word(w, bits)
-        out.update(own)
+    for (_, shape), c in zip(known, counts.values(), strict=True):
         shapes[shape] = shapes.get(shape, 0) + c
     for shape, c in shapes.items():
         if 20 * c >= n:
             out.add(_hash(b"s" + shape + b"\0", _step(c, n), bits))
-    same = sum(map(bytes.__eq__, words, words[1:]))
+    same = sum(map(eq, words, words[1:]))
     lines = [x for x in text.split(b"\n") if x]
     out.add(_hash(b"p", _step(same, n), bits))
     out.add(_hash(b"d", b"%d" % (10 * len(counts) // n) if n >= 20 else b"-", bits))
@@ -96,8 +125,58 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - np.asarray(scores)[:, None], -60, 60)))
 
 
-def fit_ordinal(rows: list, grades, n_grades: int, *, bits: int = BITS, epochs: int = 300, rate: float = 0.1, l2: float = 1e-3, least_share: float = 0.002) -> OrdinalModel:
-    """Full-batch likelihood of the cumulative-link model, by gradient steps scaled with running moments.
+def _likelihood(w, cuts, col, of, y, l2: float):
+    """Mean negative log-likelihood with its penalty, and its slopes by weight and by threshold."""
+    import numpy as np
+
+    n = len(y)
+    f = np.bincount(of, w[col], n)
+    odds = np.hstack([np.full((n, 1), -60.0), cuts[None, :] - f[:, None], np.full((n, 1), 60.0)])
+    below = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+    hi, lo = below[np.arange(n), y + 1], below[np.arange(n), y]
+    p = np.maximum(hi - lo, 1e-9)
+    d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
+    slope = np.bincount(col, (d_hi - d_lo)[of], len(w)) / n + l2 * w
+    slope_cuts = np.array([(np.where(y == j + 1, d_lo, 0) - np.where(y == j, d_hi, 0)).mean() for j in range(len(cuts))])
+    return -np.log(p).mean() + l2 / 2 * (w @ w), np.concatenate([slope, slope_cuts])
+
+
+def _descend(value, x, *, rounds: int, small: float, memory: int = 10):
+    """Least value of a convex function by L-BFGS; ``value`` gives (value, slopes), or infinity where it isn't defined."""
+    import numpy as np
+
+    now, slope = value(x)
+    past: list[tuple] = []
+    for _ in range(rounds):
+        move, undo = -slope, []
+        for s, g, r in reversed(past):
+            undo.append(r * (s @ move))
+            move = move - undo[-1] * g
+        if past:
+            s, g, r = past[-1]
+            move = move / (r * (g @ g))
+        for (s, g, r), a in zip(past, reversed(undo), strict=True):
+            move = move + s * (a - r * (g @ move))
+        fall, size = slope @ move, 1.0 if past else 1 / max(1.0, np.abs(slope).sum())
+        for _ in range(30):
+            then, slope_then = value(x + size * move)
+            if then <= now + 1e-4 * size * fall:
+                break
+            size /= 2
+        else:
+            break
+        s, g = size * move, slope_then - slope
+        if s @ g > 1e-12:
+            past = [*past, (s, g, 1 / (s @ g))][-memory:]
+        done = now - then <= small * max(1.0, abs(now))
+        x, now, slope = x + s, then, slope_then
+        if done:
+            break
+    return x
+
+
+def fit_ordinal(rows: list, grades, n_grades: int, *, bits: int = BITS, rounds: int = 300, small: float = 1e-5, l2: float = 1e-3, least_share: float = 0.002) -> OrdinalModel:
+    """Greatest penalised likelihood of the cumulative-link model, over all rows, up to steps that gain less than ``small``.
 
     Features of less than ``least_share`` of the rows get no weight: they only tell single rows apart."""
     import numpy as np
@@ -109,25 +188,18 @@ def fit_ordinal(rows: list, grades, n_grades: int, *, bits: int = BITS, epochs:
     flat, of = flat[often], of[often]
     used, col = np.unique(flat, return_inverse=True)
     share = np.clip([(y <= j).mean() for j in range(n_grades - 1)], 1e-3, 1 - 1e-3)
-    cuts = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(n_grades - 1))
-    w = np.zeros(len(used))
-    mean, square = np.zeros(len(used) + len(cuts)), np.zeros(len(used) + len(cuts))
-    for step in range(1, epochs + 1):
-        f = np.bincount(of, w[col], n)
-        below = 1 / (1 + np.exp(-np.clip(np.hstack([np.full((n, 1), -60.0), cuts[None, :] - f[:, None], np.full((n, 1), 60.0)]), -60, 60)))
-        hi, lo = below[np.arange(n), y + 1], below[np.arange(n), y]
-        p = np.maximum(hi - lo, 1e-9)
-        d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        g = np.bincount(col, (d_hi - d_lo)[of], len(used)) / n + l2 * w
-        gc = np.array([(np.where(y == j + 1, d_lo, 0) - np.where(y == j, d_hi, 0)).mean() for j in range(len(cuts))])
-        both = np.concatenate([g, gc])
-        mean, square = 0.9 * mean + 0.1 * both, 0.999 * square + 0.001 * both * both
-        move = rate * (1 - step / (epochs + 1)) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-7)
-        w -= move[: len(w)]
-        cuts = np.maximum.accumulate(cuts - move[len(w) :])
+    start = np.concatenate([np.zeros(len(used)), np.maximum.accumulate(np.log(share / (1 - share))) + 1e-3 * np.arange(n_grades - 1)])
+
+    def value(x):
+        w, cuts = x[: len(used)], x[len(used) :]
+        if (np.diff(cuts) <= 0).any():
+            return np.inf, None
+        return _likelihood(w, cuts, col, of, y, l2)
+
+    best = _descend(value, start, rounds=rounds, small=small)
     weights = np.zeros(1 << bits, np.float32)
-    weights[used] = w
-    return OrdinalModel(weights, cuts, bits)
+    weights[used] = best[: len(used)]
+    return OrdinalModel(weights, best[len(used) :], bits)
 
 
 def rated_sample(docs: DataFrame, ratings: DataFrame, *, max_rows: int, id_col: str, text_col: str, grade_col: str, bits: int = BITS) -> DataFrame:
@@ -149,17 +221,18 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, *, max_rows: int, id_col:
 
 
 def train(docs: DataFrame, ratings: DataFrame, *, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", bits: int = BITS) -> OrdinalModel | None:
-    """A model of grades 0, 1, ... up to the greatest in the sample; None if nothing is rated."""
+    """A model of grades 0, 1, ... up to the greatest of all ratings, drawn or not; None if no document is rated."""
     import numpy as np
 
     got = rated_sample(docs, ratings, max_rows=max_rows, id_col=id_col, text_col=text_col, grade_col=grade_col, bits=bits).drop("doc_id").toArrow()
     if not got.num_rows:
         return None
+    greatest = ratings.agg(F.max(ratings[grade_col].cast("int"))).first()[0]
     grades = got["grade"].to_numpy()
     rows = got["feats"].combine_chunks()
     flat, ends = rows.values.to_numpy(), rows.offsets.to_numpy()
     by = np.lexsort((np.diff(ends), grades))  # rows come in any order
-    return fit_ordinal([flat[ends[i] : ends[i + 1]] for i in by], grades[by], max(2, int(grades.max()) + 1), bits=bits)
+    return fit_ordinal([flat[ends[i] : ends[i + 1]] for i in by], grades[by], max(2, greatest + 1), bits=bits)
 
 
 def score_documents(docs: DataFrame, model: OrdinalModel | None, *, least_probability: float = 0.6, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

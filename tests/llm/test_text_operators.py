@@ -164,6 +164,45 @@ def test_classifier_on_held_out_documents(spark, docs_of):
     assert {r.selected for r in ordinal_quality.score_documents(docs, None).collect()} == {True}
 
 
+def test_fit_is_the_greatest_likelihood():
+    rng = np.random.default_rng(5)
+    rows = [np.flatnonzero(rng.random(12) < 0.4) for _ in range(400)]
+    truth = rng.normal(0, 1.5, 12)
+    y = np.digitize([truth[r].sum() + rng.logistic() for r in rows], [-1.0, 0.5, 2.0])
+    model = ordinal_quality.fit_ordinal(rows, y, 4, bits=4, small=1e-12)
+
+    def loss(w, cuts):  # of the model's definition, row by row
+        total = 0.0
+        for r, grade in zip(rows, y, strict=True):
+            below = [0.0, *(1 / (1 + np.exp(-(c - w[r].sum()))) for c in cuts), 1.0]
+            total -= np.log(below[grade + 1] - below[grade])
+        return total / len(rows) + 1e-3 / 2 * (w @ w)
+
+    w, cuts = model.weights.astype(float), model.cuts
+    best = loss(w, cuts)
+    for i in range(12 + 3):
+        for d in (0.02, -0.02):
+            step = np.eye(19)[i if i < 12 else i + 4] * d
+            assert loss(w + step[:16], cuts + step[16:]) > best
+    assert (np.diff(cuts) > 0).all() and np.corrcoef(w[:12], truth)[0, 1] > 0.95
+
+
+def test_grades_are_counted_over_all_ratings(spark, docs_of):
+    docs = docs_of([(i, f"{'good' if i % 2 else 'bad'} text {i}") for i in range(40)])
+    ratings = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(777, 3)], "doc_id bigint, grade int")
+    model = ordinal_quality.train(docs, ratings)
+    assert len(model.cuts) == 3 and np.isfinite(model.cuts).all() and (np.diff(model.cuts) > 0).all()
+
+
+def test_features_by_word():
+    seen = ordinal_quality.features("Ünïcöde ABC--abc 12!! 12!! x".encode())
+    h = lambda kind, what: ordinal_quality._hash(kind, what.encode(), ordinal_quality.BITS)
+    want = {h(b"w", "ünïcöde"), h(b"4", "ünïc"), h(b"5", "ünïcö"), h(b"w", "abc--abc"), h(b"4", "abc-"), h(b"5", "abc--"), h(b"w", "12"), h(b"w", "x")}
+    assert want <= set(seen.tolist())
+    assert len(seen) == len(set(seen.tolist())) == len(want) + 3 + 3  # the shapes a, A--a and 0!!, and three shares
+    assert list(ordinal_quality.features(b" \n")) == [h(b"e", "")]
+
+
 # secrets
 
 
