@@ -25,7 +25,7 @@ def plan_select(q: Select, table: Callable[[str], DataFrame], key_of: Callable[[
     sides = {t: R.scan(t, df) for t, df in tables.items()}
     every = [(t, f.name) for t, df in tables.items() for f in df.schema.fields]
     if analytical:
-        df = R.equi_joins(sides, conjuncts(q.where), scope)
+        df = R.equi_joins(sides, conjuncts(q.where), scope, {t: key_of(t) for t in q.tables})
     else:
         if q.pk_join:
             (a, b), keys = q.tables, [key_of(t) for t in q.tables]

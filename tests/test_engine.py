@@ -3,8 +3,12 @@
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace import EngineError
+from millrace.operators import relational
+from millrace.plans.parser import parse
+from millrace.plans.select import plan_select
 from millrace.sources.console import format_result, run_console, statements
 
 SCRIPT = [
@@ -197,3 +201,40 @@ def test_many_segments_become_one(engine, monkeypatch):
         engine.execute(f"INSERT T(a) VALUES({i})")
     assert len(engine.catalog.state().get("T").segments) <= 3
     assert rows(engine.execute("SELECT $ FROM T WHERE a > 2")) == [(3,), (4,)]
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_join_on_non_keys_is_dealt_to_all_tasks(spark, tmp_path, monkeypatch, threshold):
+    monkeypatch.setattr(relational, "PIECE_ROWS", 20_000)
+    monkeypatch.setattr(relational, "LEAST_PIECE", 1)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        key = "CASE WHEN id < 900 THEN 7 WHEN id < 990 THEN id % 30 END"  # one very common key, and nulls
+        spark.range(1000).coalesce(1).selectExpr("id AS a", f"{key} AS k", "'x' AS s").write.parquet(f"{tmp_path}/A")
+        spark.range(3000).coalesce(1).selectExpr("id DIV 2 AS b", f"CAST({key} AS INT) AS k").write.parquet(f"{tmp_path}/B")  # without a primary key, rows come twice
+        tables = {t: spark.read.parquet(f"{tmp_path}/{t}") for t in "AB"}
+        for text in ("SELECT $ FROM A, B WHERE A.k == B.k AND A.a + B.b != 5", "SELECT $ FROM B, A WHERE A.k == B.k AND A.a + B.b != 5"):
+            got = plan_select(parse(text, True), tables.get, {"A": "a"}.get, True)
+            a, b = tables["A"].alias("a"), tables["B"].alias("b")
+            want = a.join(b, F.expr("a.k = b.k AND a.a + b.b != 5")).selectExpr("a.a AS `A.a`", "a.k AS `A.k`", "a.s AS `A.s`", "b.b AS `B.b`", "b.k AS `B.k`")
+            count = lambda df, by: {tuple(r[:-1]): r[-1] for r in df.groupBy(*by).count().collect()}
+            names = [f"`{c}`" for c in want.columns]
+            assert count(got, names) == count(want, names)
+            per_task = [r[-1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+            assert max(per_task) < 0.6 * sum(per_task)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_joins_on_a_key_are_not_dealt(spark):
+    at = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+    keys = {"nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey"}.get
+    dealt = []
+    for where in ("nation.n_nationkey == customer.c_nationkey AND customer.c_custkey == orders.o_custkey", "nation.n_regionkey == customer.c_nationkey AND customer.c_custkey == orders.o_custkey"):
+        for tables in ("nation, customer, orders", "orders, customer, nation"):
+            q = plan_select(parse(f"SELECT $ FROM {tables} WHERE {where}", True), at, keys, True)
+            dealt.append(q._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression"))
+    assert dealt == [0, 0, 2, 1]  # customers that come twice multiply orders too
